@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import PACKED, bucket_of, components, dealt, materialize, mix64, pack, u64, unpack, width
+from .forest import roots
 from .shingles import set_marks, set_sketches, shingle_sets, text_blocks
 
 #: A token in more sets than this is frequent, if it is among the MOST_FREQUENT.
@@ -26,6 +27,8 @@ MOST_FREQUENT = 1 << 20
 #: Bits of the filter that finds the documents to be read again.
 FILTER_BITS = 1 << 25
 SKETCH = 512
+#: Sets of a part of a group, and their tokens together; tokens of a block of products.
+CELL_SETS, CELL_TOKENS, TOKENS = 512, 4 << 20, 4096
 
 
 def spare(n, percent: int):
@@ -275,9 +278,9 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs that link, by the whole sets of one document for each mark."""
-    needed = materialize(pairs.select(F.col("a").alias("mark")).unionByName(pairs.select(F.col("b").alias("mark"))).distinct().join(sets.select("mark", "doc_id"), "mark"), "needed")
+def _whole_sets(marks: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """(mark, tokens) of one document for each mark, from a second read of the documents."""
+    needed = materialize(marks.join(sets.select("mark", "doc_id"), "mark"), "needed")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     # a table of FILTER_BITS bits at most, whatever the input: it may be sent to all
     bits = needed.select(place.alias("p")).distinct().groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
@@ -291,7 +294,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, pe
             yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array([values[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())], names=["mark", "tokens"])
 
     members = read.select("text").mapInArrow(run, "mark long, tokens binary").join(needed.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
-    members = materialize(members, "members")
+    return materialize(members, "members")
+
+
+def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs that link, by their whole sets."""
 
     def check(batches):
         for batch in batches:
@@ -308,6 +315,81 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, pe
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def overlaps(sets: list[np.ndarray], own: int) -> np.ndarray:
+    """Sizes of the intersections of the first `own` sets with all of them, by products over blocks of shared tokens."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, token, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[token] > 1
+    owner, token = owner[shared], token[shared]
+    token = np.unique(token, return_inverse=True)[1]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    out = np.zeros((own, len(sets)), np.float32)
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, TOKENS):
+        lo, hi = np.searchsorted(token, [at, at + TOKENS])
+        block = np.zeros((len(sets), TOKENS), np.float32)
+        block[owner[lo:hi], token[lo:hi] - at] = 1
+        out += block[:own] @ block.T
+    return out.astype(np.int64)
+
+
+def _within_groups(combined: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links among the sets that share combined signatures, one for each but the first of a component in a cell.
+
+    Groups are what such signatures connect. A group's sets meet in a cell of their size band, as its own sets or,
+    from the next band, as guests; cells of more than CELL_SETS sets are split into parts, each two of which meet.
+    """
+    spark = combined.sparkSession
+    heads = combined.groupBy("key").agg(F.min("mark").alias("head"), F.count("*").alias("c")).where("c > 1")
+    group = components(combined.join(heads, "key"), "mark", "head").withColumnRenamed("node", "mark").withColumnRenamed("component", "g")
+    cuts = [int(x) for x in bands(percent, 1 << 40)]
+    sized = combined.select("mark", "n").distinct().join(group, "mark")
+    sized = materialize(sized.withColumn("band", F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col("n")))), "groups")
+    own = sized.select("mark", "n", "g", "band", F.lit(0).alias("guest"))
+    guest = sized.select("mark", "n", "g", (F.col("band") - 1).alias("band"), F.lit(1).alias("guest")).where("band > 0")
+    seats = own.unionByName(guest).withColumn("cell", F.xxhash64("g", "band"))
+    counts = seats.groupBy("cell").agg(F.count("*").alias("c"), F.sum("n").alias("t"), F.min("guest").alias("owned")).where("c > 1 and owned = 0")
+    parts = counts.select("cell", F.greatest(F.ceil(F.col("c") / CELL_SETS), F.ceil(F.col("t") / CELL_TOKENS)).cast("long").alias("parts"))
+    placed = seats.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("mark"), F.col("parts")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = placed.select("mark", "guest", F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")).alias("cell"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = placed.join(members, "mark").select(F.pmod(F.xxhash64("cell", F.lit(1)), F.lit(n)).cast("int").alias("bucket"), "cell", "guest", "mark", "tokens")
+
+    def linked(rows):
+        rows.sort(key=lambda r: r[0])  # own sets first
+        own = sum(1 for r in rows if not r[0])
+        if not own or len(rows) < 2:
+            return None
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        sizes = np.array([len(x) for x in sets])
+        shared = overlaps(sets, own)
+        near = 100 * shared >= percent * (sizes[:own, None] + sizes[None, :] - shared)
+        a, b = np.nonzero(near)
+        a, b = a[a != b], b[a != b]
+        if not len(a):
+            return None
+        mark = np.array([r[1] for r in rows], np.int64)
+        root = roots(len(rows), a, b)
+        moved = root != np.arange(len(rows))
+        return pa.RecordBatch.from_arrays([pa.array(mark[moved]), pa.array(mark[root[moved]])], names=["a", "b"])
+
+    def run(batches):
+        cell, rows = None, []
+        for batch in batches:
+            for _, c, *row in zip(*(x.to_pylist() for x in batch.columns)):
+                if c != cell:
+                    if rows and (found := linked(rows)):
+                        yield found
+                    cell, rows = c, []
+                rows.append(row)
+        if rows and (found := linked(rows)):
+            yield found
+
+    return dealt(sent, n).sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+
+
 def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Join documents whose sets of word n-grams have a Jaccard similarity of percent / 100 or more.
 
@@ -318,9 +400,8 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85, doc_id:
     component; a null doc_id never is a component's id while another can be; an empty table gives no rows.
 
     Exact: equal sets count once, candidates come from token-combination prefixes, and each is verified on
-    whole sets. No list of partners is capped. Within what shares a combined signature (large groups of near
-    copies), all members are first held against one of them; only where that leaves several components are
-    members of different components held against each other.
+    whole sets. No list of partners is capped. What shares combined signatures (large groups of near copies) is
+    verified cell by cell, where pairs are counted but never sent on.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -334,22 +415,12 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85, doc_id:
     singles = _unpacked(met, PAIR, PAIRS, "a long, b long", ["a", "b"])
     combined = _unpacked(met, COMBINED, KINDS[COMBINED], "key long, mark long, n long", ["key", "mark", "n"]).distinct()
     combined = materialize(combined, "combined")
-    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    heads = combined.groupBy("key").agg(F.min(F.struct("mark", "n")).alias("head"), F.count("*").alias("c")).where("c > 1")
-    star = combined.join(heads, "key").where((F.col("mark") != F.col("head.mark")) & near(F.col("n"), F.col("head.n"))).select(F.col("head.mark").alias("a"), F.col("mark").alias("b"))
-    tried = materialize(_plausible(_ordered(singles.unionByName(star)), sets, percent), "tried")
-    links = materialize(_verified(tried, docs, sets, words, percent), "links")
-    group = components(links)
-    # combined signatures that still span several components
-    label = combined.join(group.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
-    split = label.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("c")).where("least <> most")
-    rest = materialize(label.join(split.select("key"), "key", "left_semi"), "rest")
-    other = rest.select("key", F.col("mark").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
-    cross = rest.withColumnRenamed("mark", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & near(F.col("n"), F.col("m"))).select("a", "b")
-    cross = materialize(_plausible(_ordered(cross).join(tried, ["a", "b"], "left_anti"), sets, percent), "cross")
-    if not cross.isEmpty():
-        links = links.unionByName(_verified(cross, docs, sets, words, percent))
-        group = components(links)
+    tried = materialize(_plausible(_ordered(singles), sets, percent), "tried")
+    shared = combined.join(combined.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
+    combined = materialize(shared, "shared")
+    needed = tried.select(F.col("a").alias("mark")).unionByName(tried.select(F.col("b").alias("mark"))).unionByName(combined.select("mark")).distinct()
+    members = _whole_sets(needed, docs, sets, words)
+    group = components(_verified(tried, members, percent).unionByName(_within_groups(combined, members, percent)))
     named = sets.select("mark", "doc_id").join(group.withColumnRenamed("node", "mark"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = named.join(least, "component").select("mark", "component_id")
