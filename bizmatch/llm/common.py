@@ -130,6 +130,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
+#: Bits of the filter of without_ids.
+FILTER_BITS = 1 << 25
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows without those whose key is in ids (one column of that name); a null key stays.
+
+    Wide rows are not dealt for it: a bitmap of hashed ids, FILTER_BITS bits at most whatever the input, goes to
+    all, and only the few rows that it marks meet the ids themselves.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = ids.select(place.alias("p")).distinct().groupBy(F.shiftright("p", 6).alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("__bits"))
+    marked = rows.withColumn("__w", F.shiftright(place, 6)).join(F.broadcast(bits), "__w", "left")
+    marked = marked.withColumn("__hit", F.coalesce(F.shiftright("__bits", F.lit(0)).bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), {FILTER_BITS}) % 64 as int))")) != 0, F.lit(False)) & F.col(key).isNotNull())
+    clear = marked.where(~F.col("__hit")).select(*rows.columns)
+    return clear.unionByName(marked.where("__hit").select(*rows.columns).join(ids, key, "left_anti"))
+
+
 def usable_vector(v: Column) -> Column:
     """True for a vector of one or more components that is not zero and holds no null, NaN or infinity."""
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))

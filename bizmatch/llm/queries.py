@@ -8,15 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
+from .ann import nearest_neighbours
 from .binary import read_records, records_dir, write_records
+from .licenses import scan_licenses
+from .mixing import mixing_probabilities
 from .ngram_join import ngram_components
+from .quality import score_quality
 from .sharding import assign_shards
+from .toxicity import score_toxicity
+from .vecdedup import vector_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
@@ -25,6 +35,28 @@ def op3_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op4_quality_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality", by=5, held=0, threshold=0.3)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the files of a tree: a folder for each source, and in it for each language."""
+    return scan_licenses(_table(spark, sf_dir, "documents"), path=F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
+def op6_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "toxic", by=3, held=1, threshold=0.7)
+
+
+def op7_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op8_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing_probabilities(_table(spark, sf_dir, "documents"), temper=0.7, keep=0.5)
+    return mixed.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_probability").alias("probability"), F.col("mix_sampled").alias("sampled"))
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,8 +73,14 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_adaptive_scan": op1_adaptive_scan,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_jump_shards": op3_jump_shards,
+    "op4_quality_features": op4_quality_features,
+    "op5_license_scan": op5_license_scan,
+    "op6_compression_toxicity": op6_compression_toxicity,
+    "op7_pq_dedup": op7_pq_dedup,
+    "op8_raked_mix": op8_raked_mix,
     "op9_token_records": op9_token_records,
     "op10_bpe_automaton": op10_bpe_automaton,
 }
