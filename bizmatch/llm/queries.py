@@ -13,6 +13,7 @@ from .binary import read_records, records_dir, write_records
 from .licenses import scan_licenses
 from .mixing import mixing_probabilities
 from .ngram_join import ngram_components
+from .oracles import license_scan_sql, ngram_components_sql, vector_duplicates_sql
 from .quality import score_quality
 from .sharding import assign_shards
 from .toxicity import score_toxicity
@@ -85,4 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_automaton": op10_bpe_automaton,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Ops 1, 3, 4, 6, 8, 9 and 10 search by approximation, draw on models or tokenizers, or need crc32: they are tested against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": ngram_components_sql(4, 85),
+    "op5_license_scan": license_scan_sql("source || '/' || lang || '/' || doc_id"),
+    "op7_pq_dedup": vector_duplicates_sql(0.98),
+}
