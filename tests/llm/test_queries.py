@@ -1,0 +1,33 @@
+"""The registered queries and the pipeline on the smallest tables."""
+
+import pytest
+
+import corpus_pipeline
+from bizmatch.llm.queries import ORACLE_SQL, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_names():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_runs(spark, name):
+    rows = QUERIES[name](spark, DATA)
+    assert rows.count() > 0
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    last, seen = docs, {r["doc_id"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, last, DATA)
+        ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+        assert len(ids) == len(set(ids)) and set(ids) <= seen and ids, name
+        if name != "tokens":
+            assert out.dtypes == docs.dtypes
+            last, seen = out, set(ids)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.run(spark, DATA).collect())
+    assert got == sorted(seen)
