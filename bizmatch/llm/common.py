@@ -46,6 +46,14 @@ def width(df: DataFrame, growth: float = 1.0, target: int = 48 << 20) -> int:
     return int(max(least, min(200_000, -(-input_bytes(df) * growth // target))))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python in batches of at most so many rows: whole texts are long, and a worker holds a batch several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now > rows or now <= 0:
+        spark.conf.set(key, str(rows))
+
+
 def u64(s: int) -> np.uint64:
     return np.uint64(s & 0xFFFFFFFFFFFFFFFF)
 
@@ -130,22 +138,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-#: Bits of the filter of without_ids.
+#: Bits of the filter of marked().
 FILTER_BITS = 1 << 25
 
 
-def without_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """rows without those whose key is in ids (one column of that name); a null key stays.
+def marked(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows with a column __hit, true for all whose key is in ids (one column of that name) and a few others.
 
-    Wide rows are not dealt for it: a bitmap of hashed ids, FILTER_BITS bits at most whatever the input, goes to
-    all, and only the few rows that it marks meet the ids themselves.
+    Wide rows are not dealt for it: a bitmap of hashed ids goes to all, of FILTER_BITS bits at most whatever the
+    input.
     """
     place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    bits = ids.select(place.alias("p")).distinct().groupBy(F.shiftright("p", 6).alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("__bits"))
-    marked = rows.withColumn("__w", F.shiftright(place, 6)).join(F.broadcast(bits), "__w", "left")
-    marked = marked.withColumn("__hit", F.coalesce(F.shiftright("__bits", F.lit(0)).bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), {FILTER_BITS}) % 64 as int))")) != 0, F.lit(False)) & F.col(key).isNotNull())
-    clear = marked.where(~F.col("__hit")).select(*rows.columns)
-    return clear.unionByName(marked.where("__hit").select(*rows.columns).join(ids, key, "left_anti"))
+    bit = F.expr("shiftleft(1L, cast(__p % 64 as int))")
+    bits = ids.select(place.alias("__p")).distinct().groupBy(F.shiftright("__p", 6).alias("__w")).agg(F.bit_or(bit).alias("__bits"))
+    keyed = rows.withColumn("__p", place).withColumn("__w", F.shiftright("__p", 6)).join(F.broadcast(bits), "__w", "left")
+    return keyed.withColumn("__hit", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__p", "__w", "__bits")
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows without those whose key is in ids (one column of that name); a null key stays. Only rows that the filter marks are dealt."""
+    keyed = marked(rows, ids, key)
+    sure = ~F.col("__hit") | F.col(key).isNull()
+    return keyed.where(sure).select(*rows.columns).unionByName(keyed.where(~sure).select(*rows.columns).join(ids, key, "left_anti"))
 
 
 def usable_vector(v: Column) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, bucket_of, components, dealt, materialize, mix64, pack, u64, unpack, width
+from .common import PACKED, bucket_of, components, dealt, marked, materialize, mix64, pack, small_batches, u64, unpack, width
 from .forest import roots
 from .shingles import set_marks, set_sketches, shingle_sets, text_blocks
 
@@ -24,8 +24,7 @@ from .shingles import set_marks, set_sketches, shingle_sets, text_blocks
 RARE = 16
 #: The frequent tokens are known to every task: this bounds them (12 bytes each).
 MOST_FREQUENT = 1 << 20
-#: Bits of the filter that finds the documents to be read again.
-FILTER_BITS = 1 << 25
+#: Bits of a set's sketch.
 SKETCH = 512
 #: Sets of a part of a group, and their tokens together; tokens of a block of products.
 CELL_SETS, CELL_TOKENS, TOKENS = 512, 4 << 20, 4096
@@ -281,11 +280,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _whole_sets(marks: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
     """(mark, tokens) of one document for each mark, from a second read of the documents."""
     needed = materialize(marks.join(sets.select("mark", "doc_id"), "mark"), "needed")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    # a table of FILTER_BITS bits at most, whatever the input: it may be sent to all
-    bits = needed.select(place.alias("p")).distinct().groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    read = docs.select("doc_id", "text", F.shiftright(place, 6).alias("w"), (place % 64).cast("int").alias("bit"))
-    read = read.join(F.broadcast(bits), "w").where(F.expr("(shiftright(bits, bit) & 1L) = 1"))
+    read = marked(docs.select("doc_id", "text"), needed.select("doc_id")).where("__hit")
 
     def run(batches):
         for batch, lo, hi, values, ends in _texts(batches, words):
@@ -405,6 +400,7 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85, doc_id:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    small_batches(spark)
     n = width(docs, growth=3.0)
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs, words, n))
     met = materialize(_meet(_signatures(docs, words, percent, n, frequent), percent), "signatures")
