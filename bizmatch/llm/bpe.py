@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkStore
+from .common import small_batches
 
 NEVER = 1 << 60
 #: Splits text before the merges (byte-level BPE).
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Entries of the lazily filled tables before they start anew.
-TABLE_LIMIT = 1 << 19
+#: Entries of the lazily filled tables before they start anew; chunks that a worker remembers, and their characters.
+TABLE_LIMIT = 1 << 17
+CHUNKS, CHUNK_CHARACTERS = 500_000, 10_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -130,7 +132,7 @@ class ByteBpe:
         self.label_start = np.concatenate(([0], np.cumsum([len(x) for x in label]))).astype(np.int64)
         self.label_bytes = np.frombuffer(b"".join(label), np.uint8)
         # a chunk is a space and what follows up to the next one; no token spans the start of one after a non-space
-        self.chunks = ChunkStore(lambda many: list(map(self.encode_chunk, many)), flagged=lambda c: not c or c[0].isspace() or c[-1].isspace())
+        self.chunks = ChunkStore(lambda many: list(map(self.encode_chunk, many)), flagged=lambda c: not c or c[0].isspace() or c[-1].isspace(), limit=CHUNKS, limit_chars=CHUNK_CHARACTERS)
 
     def word(self, w: str) -> list[int]:
         ids = self.words.get(w)
@@ -211,6 +213,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
     table gives no rows. Rows stay where they are (no exchange); what a task holds is one block of texts and
     tables of bounded size.
     """
+    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

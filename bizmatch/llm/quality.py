@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .fitting import isotonic, labelled_sample, remainder
 
 #: Labelled rows that are learned from, about; random features; folds of the calibration.
@@ -135,6 +135,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", by:
 
 def quality_of(docs: DataFrame, labels: DataFrame, label: str = "quality", by: int = 5, held: int = 0):
     """A function of a text column: the probability of label 1, under a model fitted on docs and labels."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, label, by, held))
 
     @F.arrow_udf("double")

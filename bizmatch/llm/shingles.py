@@ -104,7 +104,7 @@ def set_sketches(values: np.ndarray, ends: np.ndarray, bits: int = 512) -> np.nd
     return np.packbits((count & 1).astype(np.uint8).reshape(len(ends), bits), axis=1)
 
 
-def text_blocks(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def text_blocks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` characters together, one text at least."""
     at = total = 0
     for k, t in enumerate(texts):

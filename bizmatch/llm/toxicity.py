@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .fitting import isotonic, labelled_sample, remainder
 
 #: Labelled rows that are learned from, about; sizes tried for the toxic dictionary, and the ordinary one's, in words.
@@ -28,7 +28,7 @@ KNOWN, LEAST = 5, 3
 #: Characters of a window: longer words are cut into windows that overlap by half.
 WINDOW = 40
 #: Words that a worker remembers.
-MEMORY = 700_000
+MEMORY = 250_000
 _WORD = re.compile(r"\w+")
 
 
@@ -166,6 +166,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: i
 
 def toxicity_of(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: int = 3, held: int = 1):
     """A function of a text column: the probability of being toxic, under a model fitted on docs and labels."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, label, by, held))
 
     @F.arrow_udf("double")
