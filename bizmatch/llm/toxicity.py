@@ -2,9 +2,10 @@
 
 A window is a word of the text between two copies of a fixed carrier that both dictionaries hold. A window
 that a dictionary knows compresses to little more than the carrier alone. Its evidence is the length under
-the ordinary dictionary less that under the toxic one, where the toxic dictionary takes it in one piece. A
-dictionary's content is trained: words of the class, ranked by how much more often its documents hold them.
-(The library's own trainer ranks by frequency alone, which buries the few telling words of a toxic text.)
+the ordinary dictionary less that under the toxic one, where the toxic dictionary takes it in one piece.
+Strong and weak evidence and the number of windows are weighed, and the sum is calibrated. A dictionary's
+content is trained: words of the class, ranked by how much more often its documents hold them. (The library's
+own trainer ranks by frequency alone, which buries the few telling words of a toxic text.)
 """
 
 from __future__ import annotations
@@ -62,13 +63,13 @@ class Scorer:
         n = len(self.toxic.compress(text))
         return len(self.ordinary.compress(text)) - n if n <= self.known else 0
 
-    def evidence(self, text: str | None) -> float:
-        """The sum over a whole text's distinct windows; one more for each beyond the first."""
+    def evidence(self, text: str | None) -> list[float]:
+        """Of a whole text's distinct windows: the strong ones' differences together, how many are weak, and the logarithm of their number."""
         if not text:
-            return 0.0
+            return [0.0, 0.0, 0.0]
         words = set(_WORD.findall(text.lower()))
         new = words - self.plain
-        total = 0
+        strong = weak = 0
         for w in new:
             found = self.hits.get(w)
             if found is None:
@@ -81,8 +82,11 @@ class Scorer:
                     continue
                 if len(self.hits) < MEMORY:
                     self.hits[w] = found
-            total += found - LEAST + 2
-        return float(total)
+            if found > LEAST:
+                strong += found - 1
+            else:
+                weak += 1
+        return [float(strong), float(weak), float(np.log1p(len(words)))]
 
 
 def _telling(t: np.ndarray, n: np.ndarray, toxic: int, ordinary: int) -> np.ndarray:
@@ -105,12 +109,25 @@ def _dictionaries(words: np.ndarray, t: np.ndarray, n: np.ndarray, toxic: int, o
     return _content([words[k] for k in first]), _content([words[k] for k in usual])
 
 
+def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression weights (the last one constant), by Newton's steps with a small penalty."""
+    x = np.hstack((x, np.ones((len(x), 1))))
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        w = w + np.linalg.solve(h, x.T @ (y - p) - 0.1 * w)
+    return w
+
+
 class Calibrated:
-    def __init__(self, scorer: Scorer, knots):
-        self.scorer, self.knots = scorer, knots
+    """A scorer, weights of its evidence, and the thresholds between which their sum becomes a probability."""
+
+    def __init__(self, scorer: Scorer, weights: np.ndarray, knots):
+        self.scorer, self.weights, self.knots = scorer, weights, knots
 
     def score(self, text: str | None) -> float:
-        return float(np.clip(np.interp(self.scorer.evidence(text), *self.knots), 0, 1))
+        return float(np.clip(np.interp(np.dot(self.weights[:-1], self.scorer.evidence(text)) + self.weights[-1], *self.knots), 0, 1))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: int = 3, held: int = 1) -> Calibrated:
@@ -128,7 +145,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: i
     sizes = {(r["half"], r["y"]): r["count"] for r in rows.groupBy("half", "y").count().collect()}  # four rows
     ones, zeros = sum(v for (_, y), v in sizes.items() if y), sum(v for (_, y), v in sizes.items() if not y)
     if not ones or not zeros:
-        return Calibrated(Scorer(_content([]), _content([])), (np.array([0.0]), np.array([1.0 if ones else 0.0])))
+        return Calibrated(Scorer(_content([]), _content([])), np.zeros(4), (np.array([0.0]), np.array([1.0 if ones else 0.0])))
     held_words = rows.select("y", "half", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)))).alias("word")).where(F.length("word") <= WINDOW)
     count = lambda y, h: F.count_if((F.col("y") == y) & (F.col("half") == h)).alias(f"c{y}{h}")
     counts = materialize(held_words.groupBy("word").agg(count(1, 0), count(1, 1), count(0, 0), count(0, 1)), "words")
@@ -149,19 +166,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: i
             if batch.num_rows:
                 half = batch.column(2).to_pylist()
                 got = [[tried.value[size, h].evidence(t) for size in TOXIC_WORDS] for t, h in zip(batch.column(0).to_pylist(), half)]
-                yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), batch.column(1)], names=["s", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array([sum(g, []) for g in got], pa.list_(pa.float64())), batch.column(1)], names=["s", "y"])
 
     got = rows.mapInArrow(weigh, "s array<double>, y int").toArrow()  # the bounded sample's evidence
-    s, y = np.array(got.column(0).to_pylist()), got.column(1).to_numpy().astype(float)
+    s, y = np.array(got.column(0).to_pylist()).reshape(got.num_rows, len(TOXIC_WORDS), 3), got.column(1).to_numpy().astype(float)
     best = None
     for k, size in enumerate(TOXIC_WORDS):
-        knots = isotonic(s[:, k], y)
-        p = np.clip(np.interp(s[:, k], *knots), 1e-4, 1 - 1e-4)
+        weights = _weights(s[:, k], y)
+        total = s[:, k] @ weights[:-1] + weights[-1]
+        knots = isotonic(total, y)
+        p = np.clip(np.interp(total, *knots), 1e-4, 1 - 1e-4)
         loss = -float((y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
         if best is None or loss < best[0]:
-            best = loss, size, knots
-    _, size, knots = best
-    return Calibrated(Scorer(*_dictionaries(words, c["c10"] + c["c11"], c["c00"] + c["c01"], ones, zeros, size)), knots)
+            best = loss, size, weights, knots
+    _, size, weights, knots = best
+    return Calibrated(Scorer(*_dictionaries(words, c["c10"] + c["c11"], c["c00"] + c["c01"], ones, zeros, size)), weights, knots)
 
 
 def toxicity_of(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: int = 3, held: int = 1):
