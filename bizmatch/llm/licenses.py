@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Notices of licences as they stand in headers and licence files (fixed values).
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -95,7 +97,7 @@ def scan_licenses(files: DataFrame, path: Column, doc_id: str = "doc_id", text:
     Returns (doc_id, path, license, how, score), one row for each row of files: how is 'header' (a line of the
     text, anywhere in it, is close to a template), 'file' (the file is a licence file), 'inherited' or 'none'; score is the TF-IDF cosine.
     A licence file is one that is named like one and holds a notice, or whose whole text is close to a template.
-    Directories with several licences take the one with the higher cosine, ties to the smaller name. A null
+    Directories with several licences take the one with the higher cosine, ties to the name that sorts last. A null
     text or path holds nothing and inherits nothing; repeated rows each get a row; an empty table gives none.
 
     Words that no template has count in a text's length, so that long lines that merely mention a licence stay
@@ -103,15 +105,18 @@ def scan_licenses(files: DataFrame, path: Column, doc_id: str = "doc_id", text:
     """
     rows = files.select(F.col(doc_id).alias("doc_id"), path.cast("string").alias("path"), F.col(text).alias("text"))
     cued = rows.where(_cued(F.col("text"))).withColumn("id", F.xxhash64("text")).select("id", "text").dropDuplicates(["id"])
+    cued = materialize(cued, "cued")
     lines = cued.select("id", F.posexplode(F.filter(F.split("text", "[\n\r]+"), lambda x: _cued(x))).alias("line", "notice"))
     lines = lines.withColumn("notice", F.trim("notice")).select(F.xxhash64("notice").alias("notice_id"), "id", "notice")
     notices = _matches(lines.select("notice_id", "notice").dropDuplicates(["notice_id"]), ["notice_id"], "notice", HEADER)
     best = lambda: F.max_by(F.struct("license", "score"), F.struct(F.col("score"), F.col("license")))
     own = lines.select("id", "notice_id").join(notices, "notice_id").groupBy("id").agg(best().alias("own"))
-    # a whole text is close to a template only if it holds little else
-    whole = _matches(cued.where(F.length("text") < 20_000), ["id"], "text", WHOLE).select("id", F.struct("license", "score").alias("all"))
-    named = rows.select("doc_id", "path", F.when(_cued(F.col("text")), F.xxhash64("text")).alias("id"))
-    found = named.join(own, "id", "left").join(whole, "id", "left")
+    whole = _matches(cued, ["id"], "text", WHOLE).select("id", F.struct("license", "score").alias("all"))
+    has = F.coalesce(_cued(F.col("text")), F.lit(False))
+    found = rows.where(has).select("doc_id", "path", F.xxhash64("text").alias("id")).join(own, "id", "left").join(whole, "id", "left")
+    # most texts have no cue: they meet no notice, and their null key no task
+    kind = F.lit(None).cast("struct<license:string,score:double>")
+    found = found.unionByName(rows.where(~has).select("doc_id", "path", F.lit(None).cast("long").alias("id"), kind.alias("own"), kind.alias("all")))
     base = F.lower(F.regexp_extract("path", "([^/]*)$", 1))
     is_file = F.col("all").isNotNull() | (F.col("own").isNotNull() & F.regexp_extract(base, "^([a-z]+)", 1).isin(*LICENCE_FILES))
     found = found.select(
