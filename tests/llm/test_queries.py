@@ -31,3 +31,34 @@ def test_pipeline(spark):
             last, seen = out, set(ids)
     got = sorted(r["doc_id"] for r in corpus_pipeline.run(spark, DATA).collect())
     assert got == sorted(seen)
+
+
+def test_stages_against_plain_ones(spark):
+    """Each stage's rows, one document at a time on the driver."""
+    import hashlib
+
+    import numpy as np
+    import public_tokenizers
+    from test_joins import brute
+    from tokenizers import Tokenizer
+
+    from bizmatch.llm.quality import fit_quality, statistics
+    from bizmatch.llm.toxicity import fit_toxicity
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    kept = lambda name, df: {r["doc_id"] for r in stages[name](spark, df, DATA).select("doc_id").collect()}
+    quality, toxic = fit_quality(docs, labels), fit_toxicity(docs, labels)
+    assert kept("quality", docs) == {d for d, t in texts.items() if quality.score(np.array([statistics(t)]))[0] >= 0.3}
+    assert kept("toxicity", docs) == {d for d, t in texts.items() if toxic.score(t) < 0.7}
+    assert kept("near_copies", docs) == {d for d, (_, c) in brute(list(texts.items()), 5, 80).items() if c == d}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in stages["tokens"](spark, docs, DATA).collect():
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and bytes(r["ids"]) == np.array(ids, "<u4").tobytes()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+    mixed = kept("mixing", docs)
+    words = {d: len(t.split()) for d, t in texts.items()}
+    assert mixed <= set(texts) and abs(sum(words[d] for d in mixed) / sum(words.values()) - 0.9) < 0.1
