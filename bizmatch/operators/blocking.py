@@ -35,7 +35,7 @@ def block_sizes(target_postings: DataFrame) -> DataFrame:
 
 def prune_hot_keys(target_postings: DataFrame, max_block_size: int) -> DataFrame:
     """Without the keys that more than max_block_size postings of their country hold."""
-    hot = block_sizes(target_postings).where(F.col("size") > max_block_size).select("country", "key")
+    hot = block_sizes(target_postings).where(F.col("size") > max_block_size).select("country", "key").cache()
     # a hot key has more than max_block_size postings: few of them exist, but only a count proves it
     if hot.limit(HOT_KEYS_SENT + 1).count() <= HOT_KEYS_SENT:
         hot = F.broadcast(hot)

@@ -24,7 +24,7 @@ from ..operators.scoring import MatchModel
 from ..schema import CANDIDATES, RECORD, Config
 from ..sources.adapters import docs_as_business, docs_truth, parts_as_business
 from ..sources.files import load_data, run_summary, write_tsv
-from .resolve import rescore, resolve
+from .resolve import rescore, resolve, score_all, train
 
 #: Block limit of the queries over parts, whose few names make large blocks; and candidates of each record.
 PART_BLOCK, TOP_K = 40, 30
@@ -82,6 +82,32 @@ def _counts(s, d, threshold=0.5):
     return E.pair_counts(entities, truth, S.capped(_scored(s, d), threshold).select("s1_id", "cand_id"))
 
 
+def _truth_lists(s, d):
+    entities, pairs = E.parse_truth(_lists(s, d).withColumnRenamed("candidate_entity_ids", "matched_entity_ids"))
+    return entities.join(pairs, "s1_id", "left")
+
+
+def _best_threshold(s, d):
+    entities, truth = docs_truth(docs_as_business(s, d))
+    best, f = E.optimize_threshold(_scored(s, d), entities, truth, [0.3, 0.4, 0.5, 0.6, 0.7, 0.8])
+    return s.createDataFrame([(best, round(f, 6))], "threshold double, macro_f05 double")
+
+
+def _feature_dataset(s, d):
+    rows = docs_as_business(s, d)
+    out = P.build_feature_dataset(_lists(s, d), rows.where("source = 1"), rows.where("source > 1"))
+    return out.select("s1_id", "cand_id", *[F.round(n, 6).alias(n) for n in ("stripped_exact", "addr_jaccard", "nums_overlap")])
+
+
+def _classifier(s, d):
+    """Scores of a small classifier, trained and applied on the pairs of documents."""
+    rows = docs_as_business(s, d)
+    s1, t = rows.where("source = 1"), rows.where("source > 1")
+    model = train(s1, t, docs_truth(rows)[1], max_iter=3, validate=False)
+    scored, _ = score_all(s1, t, model)
+    return scored
+
+
 def _results(s, d, threshold=0.5):
     q, _ = _prepared(s, d, docs_as_business)
     return S.assemble_matches_per_source(_scored(s, d), q, threshold)
@@ -210,6 +236,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_summary": lambda s, d: run_summary(_results(s, d)),
     "training_positives": _positives,
     "training_negatives": _negatives,
+    "parse_truth": _truth_lists,
+    "best_threshold": _best_threshold,
+    "feature_dataset": _feature_dataset,
+    "classifier_scores": _classifier,
     "tsv_round_trip": _tsv,
     "candidate_file_round_trip": _list_file,
 }
@@ -395,6 +425,12 @@ ORACLE_SQL: dict[str, str] = {
  count(*) FILTER (a > 0) AS with_s2, round(avg(a), 6) AS avg_s2, CAST(max(a) AS INTEGER) AS max_s2, count(*) FILTER (b > 0) AS with_s3, round(avg(b), 6) AS avg_s3, CAST(max(b) AS INTEGER) AS max_s3 FROM sizes""",
     "run_summary": f"{_RES} SELECT count(*) AS processed, count(*) FILTER (matched_entity_ids <> '') AS matched_entities, count(*) FILTER (matched_entity_ids = '') AS singletons, round(100 * avg(CASE WHEN matched_entity_ids <> '' THEN 1.0 ELSE 0.0 END), 6) AS matched_percent FROM results",
     "training_positives": f"{_D}, {_TRUTH}, few AS (SELECT entity_id FROM docs WHERE source = 1 ORDER BY row_idx LIMIT 200) SELECT s1_id, cand_id FROM truth WHERE s1_id IN (SELECT entity_id FROM few)",
+    "parse_truth": f"{_DF} SELECT p.entity_id AS s1_id, t_id AS match_id FROM prep p LEFT JOIN found ON q_id = p.entity_id WHERE p.source = 1",
+    "best_threshold": "SELECT threshold, macro_f05 FROM (" + " UNION ALL ".join(f"SELECT * FROM ({_SC}, {_capped(t)}, {_TRUTH}, {_measured('capped')} SELECT CAST({t} AS DOUBLE) AS threshold, round(avg(f), 6) AS macro_f05 FROM measured)" for t in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)) + ") ORDER BY macro_f05 DESC, threshold LIMIT 1",
+    "feature_dataset": f"""{_DF}, sides AS (SELECT f.q_id AS s1_id, f.t_id AS cand_id, q.name_stripped AS s1, t.name_stripped AS s2, q.addr_norm AS a1, t.addr_norm AS a2, q.numbers AS z1, t.numbers AS z2 FROM found f JOIN prep q ON f.q_id = q.entity_id JOIN prep t ON f.t_id = t.entity_id)
+ SELECT s1_id, cand_id, CAST(CASE WHEN s1 <> '' AND s1 = s2 THEN 1 ELSE 0 END AS DOUBLE) AS stripped_exact,
+ CASE WHEN a1 <> '' AND a2 <> '' THEN round(100.0 * len(list_intersect({_set('a1')}, {_set('a2')})) / len(list_distinct(list_concat({_set('a1')}, {_set('a2')}))), 6) ELSE 0.0 END AS addr_jaccard,
+ CASE WHEN z1 <> '' AND z2 <> '' THEN round(len(list_intersect({_set('z1')}, {_set('z2')})) / len(list_distinct(list_concat({_set('z1')}, {_set('z2')}))), 6) ELSE 0.0 END AS nums_overlap FROM sides""",
     "tsv_round_trip": f"{_D} SELECT entity_id, business_name, business_address, country FROM docs",
     "candidate_file_round_trip": f"{_DF}, {_LISTS} SELECT * FROM lists_out",
 }
