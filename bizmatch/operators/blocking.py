@@ -51,7 +51,8 @@ def pair_overlap(query_postings: DataFrame, target_postings: DataFrame) -> DataF
     q = query_postings.groupBy("country", "key", F.col("entity_id").alias("q_id"), F.col("row").alias("q_row")).agg(F.count("*").alias("qm"), F.min("pos").alias("pos"))
     t = target_postings.groupBy("country", "key", F.col("entity_id").alias("t_id"), F.col("row").alias("t_row")).agg(F.count("*").alias("tm"))
     both = q.join(t, ["country", "key"])
-    return both.groupBy("q_row", "t_row").agg(F.first("q_id").alias("q_id"), F.first("t_id").alias("t_id"), F.sum(F.col("qm") * F.col("tm")).alias("overlap"), F.min("pos").alias("first_pos"))
+    # ids are grouped by, not picked: so all buffers are numbers, and the aggregate hashes
+    return both.groupBy("q_row", "t_row", "q_id", "t_id").agg(F.sum(F.col("qm") * F.col("tm")).alias("overlap"), F.min("pos").alias("first_pos"))
 
 
 def top_candidates(pairs: DataFrame, top_k: int) -> DataFrame:
