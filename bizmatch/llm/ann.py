@@ -55,7 +55,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, vec_id
     exact distance in double precision. A query's own vec_id is no candidate; rows that repeat a vec_id count once,
     by the nearest. Vectors that are null, empty, zero or hold a null, NaN or infinity take no part, nor do those
     of another dimension than most. A query gets fewer than k rows only if there are fewer candidates. An empty
-    table gives no rows.
+    table gives no rows; other columns are not read.
 
     Every vector is put on the list of its nearest centroid; the centroids are fitted on FIT_VECTORS vectors. A
     query probes a share of the lists, nearest centroids first, and more until they hold enough rows. A list of

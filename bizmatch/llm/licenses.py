@@ -98,7 +98,8 @@ def scan_licenses(files: DataFrame, path: Column, doc_id: str = "doc_id", text:
     text, anywhere in it, is close to a template), 'file' (the file is a licence file), 'inherited' or 'none'; score is the TF-IDF cosine.
     A licence file is one that is named like one and holds a notice, or whose whole text is close to a template.
     Directories with several licences take the one with the higher cosine, ties to the name that sorts last. A null
-    text or path holds nothing and inherits nothing; repeated rows each get a row; an empty table gives none.
+    text or path holds nothing and inherits nothing; repeated rows each get a row; an empty table gives none; other columns
+    are not read.
 
     Words that no template has count in a text's length, so that long lines that merely mention a licence stay
     below. The templates are the only thing that is broadcast; lines without a cue never leave the scan.

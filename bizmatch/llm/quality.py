@@ -150,7 +150,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", by
 
     Returns (doc_id, held_out, score, predicted), one row for each row of docs. Statistics of the text alone go
     into a score. A null text counts as empty and gets the score of an empty text; a null doc_id is held out;
-    repeated rows get the same score each; an empty table gives no rows; null labels teach nothing.
+    repeated rows get the same score each; an empty table gives no rows; null labels teach nothing; other columns
+    are not read.
     """
     score = quality_of(docs, labels, label, by, held)
     out = F.coalesce(remainder("doc_id", by) == held, F.lit(True)).alias("held_out")

@@ -80,7 +80,7 @@ class Scorer:
                             self.plain.clear()
                         self.plain.add(w)
                     continue
-                if len(self.hits) < MEMORY:
+                if len(self.hits) < MEMORY and len(w) <= WINDOW:
                     self.hits[w] = found
             if found > LEAST:
                 strong += found - 1
@@ -200,7 +200,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", by:
 
     Returns (doc_id, held_out, score, predicted), one row for each row of docs. The text alone goes into a score.
     A null or empty text has no window and gets the score of no evidence; a null doc_id is held out; repeated
-    rows get the same score each; an empty table gives no rows; null labels teach nothing.
+    rows get the same score each; an empty table gives no rows; null labels teach nothing; other columns are not read.
     """
     score = toxicity_of(docs, labels, label, by, held)
     out = F.coalesce(remainder("doc_id", by) == held, F.lit(True)).alias("held_out")

@@ -85,7 +85,8 @@ def vector_duplicates(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "v
     Returns one row for each row of vectors: vec_id, n_links (other rows linked directly), component_id (the
     smallest vec_id that links lead to, itself included), kept (vec_id = component_id). Rows with a null label, or
     a vector that is null, empty, zero, holds a null, NaN or infinity, or has another dimension than most, link
-    with nothing. Rows that repeat a vector of their label link with each other. An empty table gives no rows.
+    with nothing. Rows that repeat a vector of their label link with each other. An empty table gives no rows; other columns
+    are not read.
 
     Links are counted where they are found, so that pairs are never sent on: a task returns each row's count and
     one link for each but the first member of a component in its cell. Large lists of one label
