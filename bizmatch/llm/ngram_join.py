@@ -392,7 +392,8 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85, doc_id:
     doc_id that links lead to, itself included; mark is the same for equal sets. Letters A-Z count as a-z, words
     are runs of anything but space and tab to carriage return; fewer than `words` words are one n-gram; a text
     without words, or none, has no n-grams and links with nothing. Repeated rows and equal texts share a
-    component; a null doc_id never is a component's id while another can be; an empty table gives no rows.
+    component; a null doc_id never is a component's id while another can be; an empty table gives no rows;
+    other columns are not read.
 
     Exact: equal sets count once, candidates come from token-combination prefixes, and each is verified on
     whole sets. No list of partners is capped. What shares combined signatures (large groups of near copies) is
