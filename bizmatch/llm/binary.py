@@ -10,6 +10,7 @@ numbers are little-endian.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import uuid
@@ -23,6 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .chunks import ChunkStore
 from .common import dealt, materialize, scratch_dir, width
 
@@ -31,6 +33,8 @@ MASK = 0xA282EAD8
 #: The most shards of one write; beyond this they grow instead, as rows are streamed.
 MOST_SHARDS = 10_000
 WIDE, PACKED, NO_ID = 1, 2, 4
+#: Pieces between spaces that a worker remembers.
+CHUNKS = 1_600_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -87,6 +91,16 @@ def read_record(uri: str, shard: int, record: int) -> tuple[int | None, np.ndarr
         return from_payload(_read_one(f))
 
 
+#: How the vocabulary treats text before its merges, where words of letters can go to the merges at once.
+PLAIN = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+
+
 class ChunkedTokenizer:
     """The tokenizers library, called once for each distinct piece between spaces.
 
@@ -101,11 +115,37 @@ class ChunkedTokenizer:
         special = self.tokenizer.get_added_tokens_decoder()
         self.special = [t.content for t in special.values()]
         self.mark = max(special) if special else None
-        self.store = ChunkStore(self._encode)
+        self.store = ChunkStore(self._encode, limit=CHUNKS, limit_chars=20 * CHUNKS)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.plain = (spec["normalizer"], spec["pre_tokenizer"]) == PLAIN
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
+
+    def _word(self, c: str) -> list[int] | None:
+        """The ids of a word of letters below U+0100, with or without a comma or stop behind it; None for anything else.
+
+        Such letters are normalised one by one, and are one piece: the library's merges take it as it is.
+        """
+        tail = self.ends.get(c[-1:])
+        word = c if tail is None else c[:-1]
+        if not word.isalpha():
+            return None
+        if word.isascii():
+            word = word.lower()
+        else:
+            try:
+                word.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+            word = "".join(map(self.letters.__getitem__, word.lower().encode()))
+        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        return ids if tail is None else ids + tail
 
     def _encode(self, chunks: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(chunks)
-        plain = [k for k, c in enumerate(chunks) if self.mark is not None and not any(s in c for s in self.special)]
+        out: list = list(map(self._word, chunks)) if self.plain else [None] * len(chunks)
+        out = [None if x is None else np.array(x, np.uint32) for x in out]
+        plain = [k for k, c in enumerate(chunks) if out[k] is None and self.mark is not None and not any(s in c for s in self.special)]
         mark = self.special[-1] if self.special else ""
         groups = [plain[k : k + 1000] for k in range(0, len(plain), 1000)]
         # a special token between two pieces keeps them apart, and its id shows where each ends
@@ -123,7 +163,20 @@ class ChunkedTokenizer:
                 out[k] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32)
         return out
 
+    def _lower(self, text: str) -> str:
+        """text in lower case where that is the vocabulary's own (letters below U+0100): fewer pieces are distinct then."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        for s in self.special:
+            if s in text:
+                return text
+        return text.lower()
+
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        if self.plain:
+            texts = list(map(self._lower, texts))
         return self.store.look_up([t.split(" ") for t in texts])[0]
 
 
@@ -165,7 +218,7 @@ def write_records(docs: DataFrame, uri: str, tokenizer: str, end_id: int | None
 
     Returns the manifest (shard, n_docs, n_tokens, bytes), one row for each shard that has documents. A null text
     counts as empty (the end id alone); null ids come first; rows with one id follow each other in the order of
-    their payloads; an empty table writes nothing. The texts stay in their task: only payloads are dealt, by ranges of doc_id whose
+    their payloads; an empty table writes nothing; other columns are not read. The texts stay in their task: only payloads are dealt, by ranges of doc_id whose
     bounds come from a scan of that column. Files appear under their name only when complete, and a task that runs
     again writes the same bytes.
     """
