@@ -23,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkStore
-from .common import small_batches
+from .common import small_batches, tidied
 
 NEVER = 1 << 60
 #: Splits text before the merges (byte-level BPE).
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Entries of the lazily filled tables before they start anew; chunks that a worker remembers, and their characters.
-TABLE_LIMIT = 1 << 17
-CHUNKS, CHUNK_CHARACTERS = 500_000, 10_000_000
+#: Words and arcs of the lazily filled tables before they start anew; chunks that a worker remembers, and their characters.
+TABLE_LIMIT, ARC_LIMIT = 120_000, 1 << 19
+CHUNKS, CHUNK_CHARACTERS = 350_000, 7_000_000
+#: Longest word that is remembered.
+REMEMBERED = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -98,7 +100,7 @@ class Automaton:
                     key = last[j] << 20 | t
                     free = arcs.get(key)
                     if free is None:
-                        if len(arcs) >= TABLE_LIMIT:
+                        if len(arcs) >= ARC_LIMIT:
                             arcs.clear()
                         free = arcs[key] = self.lost(last[j], t) == NEVER
                     if not free:
@@ -139,7 +141,9 @@ class ByteBpe:
         if ids is None:
             if len(self.words) >= TABLE_LIMIT:
                 self.words.clear()
-            ids = self.words[w] = self.automaton.encode(w.encode())
+            ids = self.automaton.encode(w.encode())
+            if len(w) <= REMEMBERED:
+                self.words[w] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -210,7 +214,7 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
 
     Returns (doc_id, n_tokens long, ids binary, decoded string): ids are little-endian unsigned 32-bit integers.
     A null text counts as empty, an empty text gives no ids; null and repeated doc_ids pass as they are; an empty
-    table gives no rows. Rows stay where they are (no exchange); what a task holds is one block of texts and
+    table gives no rows; other columns are not read. Rows stay where they are (no exchange); what a task holds is one block of texts and
     tables of bounded size.
     """
     small_batches(docs.sparkSession)
@@ -233,4 +237,4 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
                     schema=schema,
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), "doc_id long, n_tokens long, ids binary, decoded string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 
 import numpy as np
@@ -54,6 +56,28 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def tidy() -> None:
+    """Give a worker's freed memory back to the system: workers are kept between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(run):
+    """run, a function from batches to batches, that tidies up behind its last one."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def u64(s: int) -> np.uint64:
     return np.uint64(s & 0xFFFFFFFFFFFFFFFF)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PACKED, bucket_of, components, dealt, marked, materialize, mix64, pack, small_batches, u64, unpack, width
+from .common import PACKED, bucket_of, components, dealt, marked, materialize, mix64, pack, small_batches, tidied, u64, unpack, width
 from .forest import roots
 from .shingles import set_marks, set_sketches, shingle_sets, text_blocks
 
@@ -113,7 +113,7 @@ def frequent_tokens(docs: DataFrame, words: int, n: int) -> np.ndarray:
             low = low[np.argsort(-times, kind="stable")[:most]]
             yield pack(np.full(len(low), bucket), [np.sort(low)], n)
 
-    counted = dealt(docs.select("text").mapInArrow(deal, PACKED), n).mapInArrow(count, PACKED)
+    counted = dealt(docs.select("text").mapInArrow(tidied(deal), PACKED), n).mapInArrow(tidied(count), PACKED)
     found = [(r["bucket"], np.frombuffer(r["blob"], np.uint32, -1, 8)) for r in counted.collect()]  # 4 bytes each for MOST_FREQUENT tokens at most
     return np.sort(np.concatenate([np.uint64(b << 32) | low.astype(np.uint64) for b, low in found])) if found else np.empty(0, np.uint64)
 
@@ -187,10 +187,10 @@ def _signatures(docs: DataFrame, words: int, percent: int, n: int, frequent) ->
                 size = 0
         yield from flush()
 
-    return dealt(docs.select("doc_id", "text").mapInArrow(deal, PACKED + ", kind int"), n)
+    return dealt(docs.select("doc_id", "text").mapInArrow(tidied(deal), PACKED + ", kind int"), n)
 
 
-PAIR, ROW, INFO = 3, 4, 5
+PAIR = 3
 PAIRS = (np.uint64, np.uint64)
 
 
@@ -238,7 +238,7 @@ def _meet(dealt_rows: DataFrame, percent: int) -> DataFrame:
             out = pack(np.zeros(len(columns[0]), np.int64), columns, 1)
             yield pa.RecordBatch.from_arrays([pa.array([bucket] * out.num_rows, pa.int32()), out.column(1), pa.array([kind] * out.num_rows, pa.int32())], names=["bucket", "blob", "kind"])
 
-    return dealt_rows.mapInArrow(run, PACKED + ", kind int")
+    return dealt_rows.mapInArrow(tidied(run), PACKED + ", kind int")
 
 
 def _unpacked(met: DataFrame, kind: int, kinds: tuple, schema: str, names: list[str]) -> DataFrame:
@@ -254,7 +254,7 @@ def _unpacked(met: DataFrame, kind: int, kinds: tuple, schema: str, names: list[
                         arrays.append(pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return met.where(F.col("kind") == kind).select("blob").mapInArrow(run, schema)
+    return met.where(F.col("kind") == kind).select("blob").mapInArrow(tidied(run), schema)
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -274,7 +274,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(ok))
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidied(run), "a long, b long")
 
 
 def _whole_sets(marks: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
@@ -288,7 +288,7 @@ def _whole_sets(marks: DataFrame, docs: DataFrame, sets: DataFrame, words: int)
             starts = np.concatenate(([0], ends[:-1]))
             yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array([values[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())], names=["mark", "tokens"])
 
-    members = read.select("text").mapInArrow(run, "mark long, tokens binary").join(needed.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
+    members = read.select("text").mapInArrow(tidied(run), "mark long, tokens binary").join(needed.select("mark"), "mark", "left_semi").dropDuplicates(["mark"])
     return materialize(members, "members")
 
 
@@ -307,7 +307,7 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(members.select(F.col("mark").alias("a"), F.col("tokens").alias("x")), "a").join(members.select(F.col("mark").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(tidied(check), "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], own: int) -> np.ndarray:
@@ -382,7 +382,7 @@ def _within_groups(combined: DataFrame, members: DataFrame, percent: int) -> Dat
         if rows and (found := linked(rows)):
             yield found
 
-    return dealt(sent, n).sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+    return dealt(sent, n).sortWithinPartitions("cell").mapInArrow(tidied(run), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, small_batches, tidied, tidy
 from .fitting import isotonic, labelled_sample, remainder
 
 #: Labelled rows that are learned from, about; random features; folds of the calibration.
@@ -80,7 +80,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", by:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "fold"])
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold")
-    fit = materialize(rows.select("text", "y", fold).mapInArrow(measure, "x array<double>, y int, fold int").coalesce(8), "fit")
+    fit = materialize(rows.select("text", "y", fold).mapInArrow(tidied(measure), "x array<double>, y int, fold int").coalesce(8), "fit")
 
     def summed(of):
         def run(batches):
@@ -140,6 +140,7 @@ def quality_of(docs: DataFrame, labels: DataFrame, label: str = "quality", by: i
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
+        tidy()
         return pa.array(model.value.score(np.array([statistics(t) for t in text.to_pylist()]).reshape(-1, len(NAMES))))
 
     return score

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, small_batches, tidied, tidy
 from .fitting import isotonic, labelled_sample, remainder
 
 #: Labelled rows that are learned from, about; sizes tried for the toxic dictionary, and the ordinary one's, in words.
@@ -29,7 +29,7 @@ KNOWN, LEAST = 5, 3
 #: Characters of a window: longer words are cut into windows that overlap by half.
 WINDOW = 40
 #: Words that a worker remembers.
-MEMORY = 250_000
+MEMORY = 150_000
 _WORD = re.compile(r"\w+")
 
 
@@ -168,7 +168,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: i
                 got = [[tried.value[size, h].evidence(t) for size in TOXIC_WORDS] for t, h in zip(batch.column(0).to_pylist(), half)]
                 yield pa.RecordBatch.from_arrays([pa.array([sum(g, []) for g in got], pa.list_(pa.float64())), batch.column(1)], names=["s", "y"])
 
-    got = rows.mapInArrow(weigh, "s array<double>, y int").toArrow()  # the bounded sample's evidence
+    got = rows.mapInArrow(tidied(weigh), "s array<double>, y int").toArrow()  # the bounded sample's evidence
     s, y = np.array(got.column(0).to_pylist()).reshape(got.num_rows, len(TOXIC_WORDS), 3), got.column(1).to_numpy().astype(float)
     best = None
     for k, size in enumerate(TOXIC_WORDS):
@@ -190,6 +190,7 @@ def toxicity_of(docs: DataFrame, labels: DataFrame, label: str = "toxic", by: in
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
+        tidy()
         return pa.array([model.value.score(t) for t in text.to_pylist()], pa.float64())
 
     return score

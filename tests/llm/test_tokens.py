@@ -63,6 +63,7 @@ def test_tables_start_anew(library, monkeypatch):
     from bizmatch.llm import bpe as module
 
     monkeypatch.setattr(module, "TABLE_LIMIT", 5)
+    monkeypatch.setattr(module, "ARC_LIMIT", 5)
     small = ByteBpe(BYTES)
     small.chunks.limit = 3
     for _ in range(3):
