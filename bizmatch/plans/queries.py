@@ -26,8 +26,10 @@ from ..sources.adapters import docs_as_business, docs_truth, parts_as_business
 from ..sources.files import load_data, run_summary, write_tsv
 from .resolve import rescore, resolve, score_all, train
 
-#: Block limit of the queries over parts, whose few names make large blocks; and candidates of each record.
+#: Block limit of the queries over parts that are held against SQL, which has it too; those without SQL and the
+#: `_whole` ones run with the operators' own limit. And candidates of each record.
 PART_BLOCK, TOP_K = 40, 30
+WHOLE_BLOCK = Config().max_block_size
 RECORD_COLUMNS = [f.name for f in RECORD.fields]
 
 
@@ -46,14 +48,14 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, d).select(F.col("q_id").alias("s1_id"), F.col("t_id").alias("cand_id"), "rank", F.round(F.col("overlap") / (F.col("overlap") + 2), 6).alias("score"))
 
 
-def _features(spark: SparkSession, d: str) -> DataFrame:
+def _features(spark: SparkSession, d: str, block: int = PART_BLOCK) -> DataFrame:
     q, t = _prepared(spark, d)
-    pairs = B.candidates(q, t, TOP_K, PART_BLOCK).select(F.col("q_id").alias("s1_id"), F.col("t_id").alias("cand_id"), "rank")
+    pairs = B.candidates(q, t, TOP_K, block).select(F.col("q_id").alias("s1_id"), F.col("t_id").alias("cand_id"), "rank")
     return P.featured(pairs, q, t)
 
 
-def _some(*names: str):
-    return lambda s, d: _features(s, d).select("s1_id", "cand_id", *[F.round(n, 6).alias(n) for n in names])
+def _some(*names: str, block: int = PART_BLOCK):
+    return lambda s, d: _features(s, d, block).select("s1_id", "cand_id", *[F.round(n, 6).alias(n) for n in names])
 
 
 def _text(of, **columns) -> Callable:
@@ -72,6 +74,18 @@ def _keys_table(s, d, of=parts_as_business):
     return out
 
 
+def _hot(block: int):
+    return lambda s, d: B.prune_hot_keys(_keys_table(s, d)[1], block).select("entity_id", "country", "key")
+
+
+def _overlap(block: int):
+    return lambda s, d: B.pair_overlap(B.postings(_prepared(s, d)[0]), B.prune_hot_keys(B.postings(_prepared(s, d)[1]), block)).select("q_id", "t_id", "overlap", "first_pos")
+
+
+def _topk(block: int):
+    return lambda s, d: _found(s, d, parts_as_business, block).select("q_id", "t_id", "overlap", "rank")
+
+
 def _lists(s, d):
     q, _ = _prepared(s, d, docs_as_business)
     return B.candidate_lists(q, _found(s, d))
@@ -148,7 +162,7 @@ def _negatives(s, d):
 
 def _resolved(s, d):
     rows = parts_as_business(s, d)
-    return resolve(rows.where("source = 1"), rows.where("source > 1"), config=Config(max_block_size=PART_BLOCK, threshold=0.62))
+    return resolve(rows.where("source = 1"), rows.where("source > 1"), config=Config(threshold=0.62))
 
 
 def _docs_resolved(s, d):
@@ -162,7 +176,7 @@ def _rescored(s, d):
 
 
 def _heuristic(s, d):
-    return MatchModel().score(_features(s, d)).select("s1_id", "cand_id", F.round("score", 6).alias("score"))
+    return MatchModel().score(_features(s, d, WHOLE_BLOCK)).select("s1_id", "cand_id", F.round("score", 6).alias("score"))
 
 
 def _tsv(s, d):
@@ -205,18 +219,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "preprocess": lambda s, d: T.preprocess_dataframe(parts_as_business(s, d)).drop("source", "row_idx"),
     "blocking_keys": lambda s, d: _keys_table(s, d)[0].unionByName(_keys_table(s, d)[1]).select("entity_id", "pos", "key"),
     "block_sizes": _block_sizes,
-    "hot_keys_pruned": lambda s, d: B.prune_hot_keys(_keys_table(s, d)[1], PART_BLOCK).select("entity_id", "country", "key"),
-    "pair_overlap": lambda s, d: B.pair_overlap(B.postings(_prepared(s, d)[0]), B.prune_hot_keys(B.postings(_prepared(s, d)[1]), PART_BLOCK)).select("q_id", "t_id", "overlap", "first_pos"),
-    "candidates_topk": lambda s, d: _found(s, d, parts_as_business, PART_BLOCK).select("q_id", "t_id", "overlap", "rank"),
+    "hot_keys_pruned": _hot(PART_BLOCK),
+    "hot_keys_pruned_whole": _hot(WHOLE_BLOCK),
+    "pair_overlap": _overlap(PART_BLOCK),
+    "pair_overlap_whole": _overlap(WHOLE_BLOCK),
+    "candidates_topk": _topk(PART_BLOCK),
+    "candidates_topk_whole": _topk(WHOLE_BLOCK),
     "candidates_docs": lambda s, d: _found(s, d).select("q_id", "t_id", "overlap", "rank"),
     "candidate_lists": _lists,
     "generate_candidates": lambda s, d: B.generate_candidates(docs_as_business(s, d).where("source = 1"), docs_as_business(s, d).where("source > 1")),
     "country_only_singletons": _unmatched,
     "features_native": _some(*NATIVE),
+    "features_native_whole": _some(*NATIVE, block=WHOLE_BLOCK),
     "feature_lcs": _some("name_lev_ratio", "name_token_sort", "stripped_tsr"),
+    "feature_lcs_whole": _some("name_lev_ratio", "name_token_sort", "stripped_tsr", block=WHOLE_BLOCK),
     "feature_jaro_winkler": _some("name_jw_dist", "stripped_jw"),
+    "feature_jaro_winkler_whole": _some("name_jw_dist", "stripped_jw", block=WHOLE_BLOCK),
     "feature_token_set": _some("name_token_set"),
-    "feature_partial": _some("name_partial_ratio"),
+    "feature_token_set_whole": _some("name_token_set", block=WHOLE_BLOCK),
+    "feature_partial": _some("name_partial_ratio", block=WHOLE_BLOCK),
     "heuristic_score": _heuristic,
     "threshold_filter": lambda s, d: S.threshold_filter(_scored(s, d), 0.5).select("s1_id", "cand_id", "score"),
     "cap_per_source": lambda s, d: _results(s, d, 0.3),
