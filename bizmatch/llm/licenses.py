@@ -5,8 +5,11 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,25 +39,58 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: Notices and versions that are looked for in windows of words only, as the templates above are held in SQL too (fixed values).
+NOTICES = (
+    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-1.1", "Licensed under the Apache Software License, Version 1.1."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("CC-BY-2.0", "This work is licensed under a Creative Commons Attribution 2.0 License."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("CC-BY-NC-3.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("EPL-1.0", "Made available under the terms of the Eclipse Public License v1.0."),
+    ("EPL-2.0", "Made available under the terms of the Eclipse Public License 2.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Licensed under the ISC License."),
+    ("LGPL-2.0", "Licensed under the GNU Library General Public License, version 2."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License)."),
+)
+#: Whole licence texts, one file for each.
+TEXTS = Path(__file__).parent / "licence_texts"
 #: A line that holds none of these is no notice (fixed values).
 CUES = ("licen", "copyright", "spdx", "permission", "redistribut", "rights reserved", "public domain")
 #: File names that licences are kept under (fixed values).
 LICENCE_FILES = ("license", "licence", "copying", "unlicense", "notice")
 #: Least cosine of a notice, and of a whole text that is a licence file without such a name.
 HEADER, WHOLE = 0.6, 0.6
+#: The words of a cue that stand in a notice, and the least cosine of a window of words, which has no rest of a line to lower it.
+STEMS, WINDOW = ("licen", "copyright", "spdx", "permission", "redistribut", "reserved", "domain"), 0.75
+#: An SPDX tag with its expression.
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*((?:[()\w.+-]+)(?:[ \t]+(?:AND|OR|WITH)[ \t]+[()\w.+-]+)*)"
 
 
 def _words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
-def template_weights() -> tuple[list[tuple[int, str, float]], dict[str, float], float]:
+def template_weights(templates=TEMPLATES) -> tuple[list[tuple[int, str, float]], dict[str, float], float]:
     """Unit TF-IDF vectors of the templates as (template, word, weight), each word's idf, and the idf of others."""
-    sets = [set(_words(t)) for _, t in TEMPLATES]
+    sets = [set(_words(t)) for _, t in templates]
     n = len(sets)
     idf = {w: math.log((1 + n) / (1 + sum(w in s for s in sets))) + 1 for w in set().union(*sets)}
     rows = []
-    for k, (_, text) in enumerate(TEMPLATES):
+    for k, (_, text) in enumerate(templates):
         words = _words(text)
         weight = {w: words.count(w) * idf[w] for w in words}
         norm = math.sqrt(sum(x * x for x in weight.values()))
@@ -70,13 +106,19 @@ def _cued(text: Column) -> Column:
     return out
 
 
-def _matches(segments: DataFrame, keys: list[str], text: str, least: float) -> DataFrame:
+def _cued_text(text: Column) -> Column:
+    """Whether a text holds a cue, the two of two words across line breaks and comment signs too."""
+    low = F.lower(text)
+    return _cued(text) | ((low.contains("reserved") | low.contains("domain")) & low.rlike("rights[^a-z0-9]+reserved|public[^a-z0-9]+domain"))
+
+
+def _matches(segments: DataFrame, keys: list[str], text: str, least: float, templates=TEMPLATES) -> DataFrame:
     """keys, license, score of the best template for each segment, if its cosine is `least` or more."""
     spark = segments.sparkSession
-    rows, idf, other = template_weights()
+    rows, idf, other = template_weights(templates)
     weights = F.broadcast(spark.createDataFrame([(k, w, x) for k, w, x in rows], "template int, word string, weight double"))  # the templates' words
     idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
-    names = F.broadcast(spark.createDataFrame([(k, x[0]) for k, x in enumerate(TEMPLATES)], "template int, license string"))
+    names = F.broadcast(spark.createDataFrame([(k, x[0]) for k, x in enumerate(templates)], "template int, license string"))
     words = segments.select(*keys, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
     counts = words.groupBy(*keys, "word").count().join(idfs, "word", "left")
     counts = counts.withColumn("w", F.col("count") * F.coalesce("idf", F.lit(other)))
@@ -87,6 +129,66 @@ def _matches(segments: DataFrame, keys: list[str], text: str, least: float) -> D
     return best.select(*keys, "best.license", "best.score")
 
 
+@functools.cache
+def _places() -> list[tuple[int, int, int]]:
+    """(stem, words before it, words in all) of the notices' cue words: the windows in which a notice may stand around one."""
+    out = set()
+    for _, text in (*TEMPLATES, *NOTICES):
+        words = _words(text)
+        out |= {(next(k for k, x in enumerate(STEMS) if x in w), i, len(words)) for i, w in enumerate(words) if any(x in w for x in STEMS)}
+    return sorted(out)
+
+
+def _window_matches(cued: DataFrame) -> DataFrame:
+    """(id, license, score) of each text's windows that are close to a notice; windows run over line breaks."""
+    stem = lambda w: F.coalesce(*[F.when(w.contains(x), F.lit(k)) for k, x in enumerate(STEMS)])
+    most = max(n for _, _, n in _places())
+    spots = F.filter(F.transform("words", lambda w, i: F.struct(stem(w).alias("stem"), i.alias("i"))), lambda x: x["stem"].isNotNull())
+    # each spot with the words around it; those before the text are left out
+    start = lambda x: F.greatest(x["i"] - F.lit(most) + 1, F.lit(0))
+    around = F.transform(spots, lambda x: F.struct(x["stem"].alias("stem"), (x["i"] - start(x)).alias("at"), F.slice("words", start(x) + 1, F.lit(2 * most)).alias("near")))
+    places = F.broadcast(cued.sparkSession.createDataFrame(_places(), "stem int, before int, length int"))
+    rows = cued.select("id", F.explode(around).alias("x")).select("id", "x.*").join(places, "stem").where("at >= before")
+    windows = rows.select("id", F.array_join(F.slice("near", F.col("at") - F.col("before") + 1, F.col("length")), " ").alias("window"))
+    windows = windows.select(F.xxhash64("window").alias("window_id"), "id", "window").dropDuplicates(["window_id", "id"])
+    found = _matches(windows.select("window_id", "window").dropDuplicates(["window_id"]), ["window_id"], "window", WINDOW, (*TEMPLATES, *NOTICES))
+    return windows.select("id", "window_id").join(found, "window_id").select("id", "license", "score")
+
+
+def _spdx_matches(cued: DataFrame) -> DataFrame:
+    """(id, license, score) of the identifiers in SPDX tags, whether they are known or not; 'only' and 'or later' are left off."""
+    expressions = F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))
+    bare = cued.select("id", F.explode(expressions).alias("e")).select("id", F.regexp_replace("e", r"(?i)[ \t]WITH[ \t]+[\w.+-]+", "").alias("e"))
+    names = bare.select("id", F.explode(F.split(F.trim(F.regexp_replace("e", r"(?i)[ \t()]+((AND|OR)[ \t()]+)?", " ")), " ")).alias("name"))
+    return names.where("name <> ''").select("id", F.regexp_replace("name", r"(?i)(-only|-or-later|\+)$", "").alias("license"), F.lit(1.0).alias("score"))
+
+
+@functools.cache
+def _full_texts() -> list[tuple[str, str, float]]:
+    """(license, three words, weight) of the whole licence texts, as unit vectors of counts."""
+    rows = []
+    for file in sorted(TEXTS.glob("*.txt")):
+        words = _words(file.read_text(encoding="utf-8"))
+        counts = Counter(" ".join(words[i : i + 3]) for i in range(len(words) - 2))
+        norm = math.sqrt(sum(n * n for n in counts.values()))
+        rows += [(file.stem, g, n / norm) for g, n in sorted(counts.items())]
+    return rows
+
+
+def _full_matches(cued: DataFrame) -> DataFrame:
+    """(id, all): texts that are a whole licence text, by the cosine of counts of three words in a row.
+
+    Single words would not do: any long text shares the frequent ones.
+    """
+    grams = F.broadcast(cued.sparkSession.createDataFrame(_full_texts(), "license string, gram string, weight double"))  # the licences' words
+    three = F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.array_join(F.slice("words", i, 3), " "))
+    counts = cued.where("size(words) > 2").select("id", F.explode(three).alias("gram")).groupBy("id", "gram").count()
+    norms = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("norm"))
+    dots = counts.join(grams, "gram").groupBy("id", "license").agg(F.sum(F.col("count") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, "id").select("id", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= WHOLE)
+    return scored.groupBy("id").agg(F.max_by(F.struct("license", "score"), F.struct("score", "license")).alias("full"))
+
+
 def folder(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
@@ -95,8 +197,11 @@ def scan_licenses(files: DataFrame, path: Column, doc_id: str = "doc_id", text:
     """The licence of every file: its own notice's, or that of the nearest directory above that has a licence file.
 
     Returns (doc_id, path, license, how, score), one row for each row of files: how is 'header' (a line of the
-    text, anywhere in it, is close to a template), 'file' (the file is a licence file), 'inherited' or 'none'; score is the TF-IDF cosine.
-    A licence file is one that is named like one and holds a notice, or whose whole text is close to a template.
+    text, or a window of words around a cue, anywhere in it and over line breaks, is close to a notice, or an SPDX tag names a
+    licence), 'file' (the file is a licence file), 'inherited' or 'none'; score is the TF-IDF cosine, 1 for a tag, and the
+    cosine of counts of three words for a whole licence text. A licence file is one that is named like one and holds a
+    notice, or whose whole text is close to a template or to a licence's text.
+    Where a text's own notice names another licence than its whole does, the higher cosine holds.
     Directories with several licences take the one with the higher cosine, ties to the name that sorts last. A null
     text or path holds nothing and inherits nothing; repeated rows each get a row; an empty table gives none; other columns
     are not read.
@@ -105,23 +210,27 @@ def scan_licenses(files: DataFrame, path: Column, doc_id: str = "doc_id", text:
     below. The templates are the only thing that is broadcast; lines without a cue never leave the scan.
     """
     rows = files.select(F.col(doc_id).alias("doc_id"), path.cast("string").alias("path"), F.col(text).alias("text"))
-    cued = rows.where(_cued(F.col("text"))).withColumn("id", F.xxhash64("text")).select("id", "text").dropDuplicates(["id"])
-    cued = materialize(cued, "cued")
+    cued = rows.where(_cued_text(F.col("text"))).withColumn("id", F.xxhash64("text")).select("id", "text").dropDuplicates(["id"])
+    cued = materialize(cued.withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))), "cued")
     lines = cued.select("id", F.posexplode(F.filter(F.split("text", "[\n\r]+"), lambda x: _cued(x))).alias("line", "notice"))
     lines = lines.withColumn("notice", F.trim("notice")).select(F.xxhash64("notice").alias("notice_id"), "id", "notice")
     notices = _matches(lines.select("notice_id", "notice").dropDuplicates(["notice_id"]), ["notice_id"], "notice", HEADER)
     best = lambda: F.max_by(F.struct("license", "score"), F.struct(F.col("score"), F.col("license")))
-    own = lines.select("id", "notice_id").join(notices, "notice_id").groupBy("id").agg(best().alias("own"))
+    own = lines.select("id", "notice_id").join(notices, "notice_id").select("id", "license", "score")
+    own = own.unionByName(_window_matches(cued)).unionByName(_spdx_matches(cued)).groupBy("id").agg(best().alias("own"))
     whole = _matches(cued, ["id"], "text", WHOLE).select("id", F.struct("license", "score").alias("all"))
-    has = F.coalesce(_cued(F.col("text")), F.lit(False))
-    found = rows.where(has).select("doc_id", "path", F.xxhash64("text").alias("id")).join(own, "id", "left").join(whole, "id", "left")
+    whole = whole.join(_full_matches(cued), "id", "full").select("id", F.coalesce("all", "full").alias("all"))
+    # what follows reads it several times
+    kinds = materialize(own.join(whole, "id", "full"), "kinds")
+    has = F.coalesce(_cued_text(F.col("text")), F.lit(False))
+    found = rows.where(has).select("doc_id", "path", F.xxhash64("text").alias("id")).join(kinds, "id", "left")
     # most texts have no cue: they meet no notice, and their null key no task
     kind = F.lit(None).cast("struct<license:string,score:double>")
     found = found.unionByName(rows.where(~has).select("doc_id", "path", F.lit(None).cast("long").alias("id"), kind.alias("own"), kind.alias("all")))
     base = F.lower(F.regexp_extract("path", "([^/]*)$", 1))
     is_file = F.col("all").isNotNull() | (F.col("own").isNotNull() & F.regexp_extract(base, "^([a-z]+)", 1).isin(*LICENCE_FILES))
     found = found.select(
-        "doc_id", "path", is_file.alias("is_file"), F.coalesce("all", "own").alias("mine"), folder(F.col("path")).alias("folder"),
+        "doc_id", "path", is_file.alias("is_file"), F.when(F.col("own.license") != F.col("all.license"), F.when(F.col("own.score") > F.col("all.score"), F.col("own")).otherwise(F.col("all"))).otherwise(F.coalesce("all", "own")).alias("mine"), folder(F.col("path")).alias("folder"),
     )
     folders = found.where("is_file and path is not null").groupBy("folder").agg(F.max_by("mine", F.struct(F.col("mine.score"), F.col("mine.license"))).alias("theirs")).select(F.col("folder").alias("above"), "theirs")
     # ancestors are joined once for each folder, not for each file

@@ -142,6 +142,24 @@ def test_licenses(spark):
             assert scan_licenses(one, F.col("p")).first()["license"] == name
 
 
+def test_licences_in_longer_lines_wrapped_and_whole(spark):
+    mpl = "/* This Source Code Form is subject\n * to the terms of\n * the Mozilla Public\n * License, v. 2.0. */\n" + "int x = 1;\n" * 50
+    gpl = "# You can redistribute it and/or modify\n# it under the terms of the GNU General Public License\n# as published by the Free Software Foundation; either version 2\n# of the License, or (at your option)\n# any later version.\ncode"
+    whole = lambda name: (licenses.TEXTS / f"{name}.txt").read_text(encoding="utf-8")
+    wanted = [
+        ("a/1", "Written by the project team in 2019 for public use. Released under the MIT License. Please send questions to the list.", "MIT", "header"),
+        ("b/1", mpl, "MPL-2.0", "header"), ("c/1", gpl, "GPL-2.0", "file"), ("c2/1", gpl + "\nx = 1" * 90, "GPL-2.0", "header"), ("d/1", "// SPDX-License-Identifier: MIT\ncode", "MIT", "header"),
+        ("e/1", "# SPDX-License-Identifier: Apache-2.0\ncode", "Apache-2.0", "header"), ("f/1", "# SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0)\n", "GPL-2.0", "header"),
+        ("g/1", "Copyright (c) 2020 A. Person\n\n" + whole("MIT"), "MIT", "file"), ("g/2", "code", "MIT", "inherited"), ("h/1", whole("GPL-3.0"), "GPL-3.0", "file"), ("i/1", whole("BSD-2-Clause"), "BSD-2-Clause", "file"),
+        ("j/1", "x\nThis is free and unencumbered software\nreleased into the public\ndomain.\n" + "y z\n" * 99, "Unlicense", "header"),
+        ("k/1", "We asked which licence the committee would like and it said that permission was a matter for the owners of the domain. " * 9, None, "none"),
+        ("l/1", "Our friends prefer the MIT license over others because the lawyers like it.", None, "none"),
+    ]
+    df = spark.createDataFrame([(k, p, t) for k, (p, t, _, _) in enumerate(wanted)], "doc_id long, p string, text string")
+    got = {r["doc_id"]: (r["license"], r["how"]) for r in scan_licenses(df, F.col("p")).collect()}
+    assert got == {k: x[2:] for k, x in enumerate(wanted)}
+
+
 def jump(key, n):
     key, b, j = key & (1 << 64) - 1, -1, 0
     while j < n:
