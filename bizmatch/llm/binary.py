@@ -114,6 +114,7 @@ class ChunkedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         special = self.tokenizer.get_added_tokens_decoder()
         self.special = [t.content for t in special.values()]
+        self.folded = [s.lower() for s in self.special]
         self.mark = max(special) if special else None
         self.store = ChunkStore(self._encode, limit=CHUNKS, limit_chars=20 * CHUNKS)
         with open(path, encoding="utf-8") as f:
@@ -169,10 +170,9 @@ class ChunkedTokenizer:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text
-        for s in self.special:
-            if s in text:
-                return text
-        return text.lower()
+        low = text.lower()
+        # a special token is one only as it is written: in other letters it must not become one
+        return text if any(s in low for s in self.folded) else low
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         if self.plain:

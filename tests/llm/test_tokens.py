@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bizmatch.llm.binary import from_payload, read_record, read_records, records_dir, to_payload, write_records
+from bizmatch.llm.binary import ChunkedTokenizer, from_payload, read_record, read_records, records_dir, to_payload, write_records
 from bizmatch.llm.bpe import ByteBpe, bpe_round_trip
 from bizmatch.llm.chunks import ChunkStore
 
@@ -118,6 +118,13 @@ def test_records(spark):
     assert read_records(write_records(df.limit(0), empty, WORDS), empty).count() == 0
 
 
+def test_special_tokens_in_other_letters():
+    texts = [f"{a}{t}{b}" for t in ("<|ENDOFTEXT|>", "<|EndOfText|>", "<|StartOfText|>", "<|STARTOFTEXT|>", "<|endoftext|>") for a, b in (("", ""), ("Some Words ", " AND More"), ("X", "Y"), ("É ", " é"))]
+    texts += [" ".join(texts), "Plain Words Only"]
+    want = [e.ids for e in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in ChunkedTokenizer(WORDS).encode_many(texts)] == want
+
+
 def test_payloads():
     for ids in ([], [1], [70000, 2], list(range(5000)), [65535] * 100):
         for doc in (None, -5, 1 << 60):
