@@ -22,7 +22,7 @@ from ..operators import select as S
 from ..operators import training as R
 from ..operators.scoring import MatchModel
 from ..schema import CANDIDATES, RECORD, Config
-from ..sources.adapters import docs_as_business, docs_truth, parts_as_business
+from ..sources.adapters import docs_as_business, docs_truth, parts_as_business, whole_docs, whole_texts
 from ..sources.files import load_data, run_summary, write_tsv
 from .resolve import rescore, resolve, score_all, train
 
@@ -86,9 +86,9 @@ def _topk(block: int):
     return lambda s, d: _found(s, d, parts_as_business, block).select("q_id", "t_id", "overlap", "rank")
 
 
-def _lists(s, d):
-    q, _ = _prepared(s, d, docs_as_business)
-    return B.candidate_lists(q, _found(s, d))
+def _lists(s, d, of=docs_as_business):
+    q, _ = _prepared(s, d, of)
+    return B.candidate_lists(q, _found(s, d, of))
 
 
 def _counts(s, d, threshold=0.5):
@@ -115,7 +115,7 @@ def _feature_dataset(s, d):
 
 def _classifier(s, d):
     """Scores of a small classifier, trained and applied on the pairs of documents."""
-    rows = docs_as_business(s, d)
+    rows = whole_docs(s, d)
     s1, t = rows.where("source = 1"), rows.where("source > 1")
     model = train(s1, t, docs_truth(rows)[1], max_iter=3, validate=False)
     scored, _ = score_all(s1, t, model)
@@ -166,13 +166,13 @@ def _resolved(s, d):
 
 
 def _docs_resolved(s, d):
-    rows = docs_as_business(s, d)
+    rows = whole_docs(s, d)
     return resolve(rows.where("source = 1"), rows.where("source > 1"), config=Config(threshold=0.62))
 
 
 def _rescored(s, d):
-    rows = docs_as_business(s, d)
-    return rescore(rows.where("source = 1"), rows.where("source > 1"), _lists(s, d))
+    rows = whole_docs(s, d)
+    return rescore(rows.where("source = 1"), rows.where("source > 1"), _lists(s, d, whole_docs))
 
 
 def _heuristic(s, d):
@@ -209,12 +209,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "records_parts": lambda s, d: parts_as_business(s, d),
     "records_docs": lambda s, d: docs_as_business(s, d).drop("mark"),
     "clean_text": lambda s, d: docs_as_business(s, d).select("entity_id", T.clean_text("business_name").alias("clean")),
+    "clean_text_whole": _text(whole_texts, clean=lambda: T.clean_text("text")),
     "normalize_abbreviations": _text(parts_as_business, norm=lambda: T.normalize_abbreviations(T.clean_text("business_address"))),
     "strip_legal_suffixes": _text(parts_as_business, stripped=lambda: T.strip_legal_suffixes(T.clean_text("business_name"))),
     "extract_numbers": _text(parts_as_business, numbers=lambda: T.extract_numerical_tokens(T.clean_text("business_address"))),
     "normalize_ampersand": _text(parts_as_business, amp=lambda: T.normalize_ampersand("business_name")),
     "normalize_name": _text(parts_as_business, name=lambda: T.normalize_name_for_matching("business_name")),
     "tokens": _text(docs_as_business, n_tokens=lambda: F.size(T.tokens(T.clean_text("business_address"))), first=lambda: T.first_token(T.clean_text("business_address"))),
+    "tokens_whole": _text(whole_texts, n_tokens=lambda: F.size(T.tokens(T.clean_text("text"))), first=lambda: T.first_token(T.clean_text("text"))),
+    "significant_words_whole": _text(whole_texts, words=lambda: F.array_join(T.significant_words(T.clean_text("text"), 3), " ")),
     "significant_words": _text(docs_as_business, words=lambda: F.array_join(T.significant_words(T.clean_text("business_name"), 3), " ")),
     "preprocess": lambda s, d: T.preprocess_dataframe(parts_as_business(s, d)).drop("source", "row_idx"),
     "blocking_keys": lambda s, d: _keys_table(s, d)[0].unionByName(_keys_table(s, d)[1]).select("entity_id", "pos", "key"),
@@ -226,8 +229,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "candidates_topk": _topk(PART_BLOCK),
     "candidates_topk_whole": _topk(WHOLE_BLOCK),
     "candidates_docs": lambda s, d: _found(s, d).select("q_id", "t_id", "overlap", "rank"),
+    "candidates_docs_whole": lambda s, d: _found(s, d, whole_docs).select("q_id", "t_id", "overlap", "rank"),
     "candidate_lists": _lists,
     "generate_candidates": lambda s, d: B.generate_candidates(docs_as_business(s, d).where("source = 1"), docs_as_business(s, d).where("source > 1")),
+    "generate_candidates_whole": lambda s, d: B.generate_candidates(whole_docs(s, d).where("source = 1"), whole_docs(s, d).where("source > 1")),
     "country_only_singletons": _unmatched,
     "features_native": _some(*NATIVE),
     "features_native_whole": _some(*NATIVE, block=WHOLE_BLOCK),

@@ -16,6 +16,29 @@ def crowd(spark, tmp_path_factory):
     return path
 
 
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("long"))
+    rows = [(k, "the same four words and ten more that all of them begin with here " + f"tail{k} " * 50 + "\nEnd, 77" + str(1000 + k // 3), "en") for k in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
+    return path, rows
+
+
+def test_whole_texts(spark, long_texts):
+    path, rows = long_texts
+    clean = {f"S{k % 3 + 1}-{k}": " ".join(t.lower().replace(",", " ").split()) for k, t, _ in rows}
+    assert {r["entity_id"]: r["clean"] for r in QUERIES["clean_text_whole"](spark, path).collect()} == clean
+    assert {r["entity_id"]: (r["n_tokens"], r["first"]) for r in QUERIES["tokens_whole"](spark, path).collect()} == {e: (len(t.split()), "the") for e, t in clean.items()}
+    assert all(r["words"].endswith(clean[r["entity_id"]][-len("tail9 end 771009"):].split(" ", 1)[1]) for r in QUERIES["significant_words_whole"](spark, path).collect())
+    # the number at the end is a key of whole texts only: it is shared within each three
+    lists = {q: {} for q in clean if q[:2] == "S1"}
+    for r in QUERIES["candidates_docs_whole"](spark, path).collect():
+        lists[r["q_id"]][r["t_id"]] = r["overlap"]
+    for q, found in lists.items():
+        group = int(q.split("-")[1]) // 3
+        assert {t for t, n in found.items() if n == max(found.values())} == {t for t in clean if t[:2] != "S1" and int(t.split("-")[1]) // 3 == group}
+
+
 def test_parts_without_the_small_block_limit(spark, crowd):
     keys = QUERIES["blocking_keys"](spark, crowd).collect()
     country = {r["entity_id"]: r["country"] for r in QUERIES["records_parts"](spark, crowd).collect()}
