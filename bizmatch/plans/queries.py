@@ -148,10 +148,10 @@ def _distinct(s, d):
     return P.pair_distinct(P.explode_candidates(twice)).select("s1_id", "cand_id")
 
 
-def _positives(s, d):
+def _positives(s, d, entities=200):
     q, t = _prepared(s, d, docs_as_business)
     _, truth = docs_truth(docs_as_business(s, d))
-    return R.positives(truth, q, t, 200)
+    return R.positives(truth, q, t, entities)
 
 
 def _negatives(s, d):
@@ -261,6 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "result_summary": lambda s, d: _rounded(E.result_summary(_results(s, d))),
     "run_summary": lambda s, d: run_summary(_results(s, d)),
     "training_positives": _positives,
+    "training_positives_whole": lambda s, d: _positives(s, d, Config().train_entities),
     "training_negatives": _negatives,
     "parse_truth": _truth_lists,
     "best_threshold": _best_threshold,

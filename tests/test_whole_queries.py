@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from bizmatch.operators.training import positives
 from bizmatch.plans.queries import QUERIES
+from bizmatch.sources.adapters import docs_as_business, docs_truth
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +41,16 @@ def test_whole_texts(spark, long_texts):
         assert {t for t, n in found.items() if n == max(found.values())} == {t for t in clean if t[:2] != "S1" and int(t.split("-")[1]) // 3 == group}
 
 
+def test_positives_of_all_entities(spark, tmp_path):
+    rows = [(k, f"text {k // 3}", "en") for k in range(900)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = {(f"S1-{k}", f"S{j + 1}-{k + j}") for k in range(0, 900, 3) for j in (1, 2)}
+    assert {tuple(r) for r in QUERIES["training_positives_whole"](spark, str(tmp_path)).select("s1_id", "cand_id").collect()} == pairs
+    docs = docs_as_business(spark, str(tmp_path))
+    few = positives(docs_truth(docs)[1], docs.where("source = 1"), docs.where("source > 1"), 7)
+    assert {tuple(r) for r in few.select("s1_id", "cand_id").collect()} == {(q, t) for q, t in pairs if int(q[3:]) < 21}
+
+
 def test_parts_without_the_small_block_limit(spark, crowd):
     keys = QUERIES["blocking_keys"](spark, crowd).collect()
     country = {r["entity_id"]: r["country"] for r in QUERIES["records_parts"](spark, crowd).collect()}
