@@ -142,6 +142,15 @@ def _semi(s, d):
     return P.semi_reduce(P.pair_distinct(P.explode_candidates(lists)), q.where("row_idx % 2 = 0"), t.where("row_idx % 5 <> 0")).select("s1_id", "cand_id")
 
 
+def _semi_whole(s, d):
+    """Lists with unknown ids on both sides, reduced to the known records."""
+    q, t = _prepared(s, d, docs_as_business)
+    lists = _lists(s, d)
+    more = lists.select("source1_entity_id", F.concat_ws(",", "candidate_entity_ids", F.concat(F.lit("S2-unknown-"), "source1_entity_id")).alias("candidate_entity_ids"))
+    strange = lists.select(F.concat(F.lit("S1-unknown-"), "source1_entity_id").alias("source1_entity_id"), "candidate_entity_ids")
+    return P.semi_reduce(P.pair_distinct(P.explode_candidates(more.unionByName(strange))), q, t).select("s1_id", "cand_id")
+
+
 def _distinct(s, d):
     lists = _lists(s, d)
     twice = lists.select("source1_entity_id", F.concat_ws(", ", "candidate_entity_ids", "candidate_entity_ids", F.lit("")).alias("candidate_entity_ids"))
@@ -252,6 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "explode_candidates": lambda s, d: P.explode_candidates(_lists(s, d)),
     "pair_distinct": _distinct,
     "semi_reduce": _semi,
+    "semi_reduce_whole": _semi_whole,
     "rescore": _rescored,
     "macro_f05": lambda s, d: _rounded(E.macro_f05(_counts(s, d))),
     "eval_detailed": lambda s, d: _rounded(E.evaluate_detailed(_counts(s, d))),

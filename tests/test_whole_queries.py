@@ -51,6 +51,13 @@ def test_positives_of_all_entities(spark, tmp_path):
     assert {tuple(r) for r in few.select("s1_id", "cand_id").collect()} == {(q, t) for q, t in pairs if int(q[3:]) < 21}
 
 
+def test_semi_join_over_all_known_records(spark):
+    data = "/root/testdata/sf0.001"
+    pairs = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, data).select("s1_id", "cand_id").collect())
+    whole = pairs("semi_reduce_whole")
+    assert whole == pairs("pair_distinct") and set(pairs("semi_reduce")) < set(whole)
+
+
 def test_parts_without_the_small_block_limit(spark, crowd):
     keys = QUERIES["blocking_keys"](spark, crowd).collect()
     country = {r["entity_id"]: r["country"] for r in QUERIES["records_parts"](spark, crowd).collect()}
