@@ -20,11 +20,18 @@ CELL_LEAST, CELL_MOST = 256, 16_384
 BLOCK, STRICT = 16, 2.5
 
 
-def scan(x: np.ndarray, ids: np.ndarray, turned: list[np.ndarray], q: np.ndarray, q_turned: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def distinct_first(ids: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """The first k rows of order that have an id not met before."""
+    _, at = np.unique(ids[order], return_index=True)
+    return order[np.sort(at)[:k]]
+
+
+def scan(x: np.ndarray, ids: np.ndarray, turned: list[np.ndarray], q: np.ndarray, q_turned: np.ndarray, own: int, k: int, repeats: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids and exact distances of q's k nearest rows of x, as far as the tests let them through.
 
     `turned` holds the rotated rows in blocks of columns. After each block, a row is abandoned when its partial
-    distance, scaled up to all dimensions, is larger than the k-th distance known by more than chance allows.
+    distance, scaled up to all dimensions, is larger than the k-th distance known by more than chance allows. With
+    `repeats` some rows share an id: the bound is that of k ids, and each id is returned once, by its nearest row.
     """
     alive = np.flatnonzero(ids != own)
     d, seen = x.shape[1], 0
@@ -37,14 +44,17 @@ def scan(x: np.ndarray, ids: np.ndarray, turned: list[np.ndarray], q: np.ndarray
         seen += w
         if len(alive) <= k:
             continue
-        if b == 0:  # any k rows bound the k-th distance: take the k nearest so far
-            first = alive[np.argpartition(part, k - 1)[:k]]
+        if b == 0:  # any k ids bound the k-th distance: take the k nearest so far
+            first = distinct_first(ids, alive[np.argsort(part, kind="stable")], k) if repeats else alive[np.argpartition(part, k - 1)[:k]]
+            if len(first) < k:
+                break  # all ids are wanted
             bound = float(((x[first] - q) ** 2).sum(1).max()) * (1 + 1e-6) + 1e-12
         limit = bound * (1 if seen == d else (1 + STRICT / np.sqrt(seen)) ** 2 * seen / d)
         stay = part <= limit
         alive, part = alive[stay], part[stay]
     exact = np.sqrt(((x[alive] - q) ** 2).sum(1))
-    order = np.lexsort((ids[alive], exact))[: 4 * k]
+    order = np.lexsort((ids[alive], exact))
+    order = distinct_first(ids[alive], order, k) if repeats else order[:k]
     return ids[alive][order], exact[order]
 
 
@@ -126,9 +136,9 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, vec_id
             q = np.frombuffer(v[mid:hi].tobytes()).reshape(-1, d)
             rotated, q_turned = x @ turn, q @ turn
             turned = [np.ascontiguousarray(rotated[:, b : b + BLOCK]) for b in range(0, d, BLOCK)]
-            got = []
+            got, repeats = [], len(np.unique(ids[lo:mid])) < mid - lo
             for j, own in enumerate(ids[mid:hi]):
-                found, score = scan(x, ids[lo:mid], turned, q[j], q_turned[j], own, k)
+                found, score = scan(x, ids[lo:mid], turned, q[j], q_turned[j], own, k, repeats)
                 got.append((np.full(len(found), own), found, score))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)], names=["query_id", "vec_id", "score"])
 

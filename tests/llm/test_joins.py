@@ -177,6 +177,18 @@ def test_nearest_neighbours_few_and_none(spark, monkeypatch):
     assert nearest_neighbours(frame(spark, rows), F.lit(None).cast("boolean")).count() == 0
 
 
+def test_nearest_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 64))
+    rows = [(100, [float(v) for v in x[0]], 1)] + [(k, [float(v) for v in x[0] + (0.3 + 0.05 * k) * x[k]], 1) for k in range(1, 40)]
+    rows += [(500, [float(v) for v in x[0] + 1e-3 * rng.standard_normal(64)], 1) for _ in range(90)]
+    got = [r["vec_id"] for r in nearest_neighbours(frame(spark, rows), F.col("vec_id") == 100, k=10).orderBy("rank").collect()]
+    best = {}
+    for i, v, _ in rows[1:]:
+        best[i] = min(best.get(i, np.inf), float(((np.float32(v) - np.float32(x[0])) ** 2).sum()))
+    assert got == sorted(best, key=best.get)[:10] and got[0] == 500
+
+
 @pytest.mark.parametrize("least", [256, 20])
 def test_vector_duplicates(spark, monkeypatch, least):
     monkeypatch.setattr(vecdedup, "CELL_LEAST", least)
