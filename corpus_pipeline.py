@@ -34,7 +34,11 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies (word 5-grams, Jaccard 0.8); a null id stays."""
+    """The document with the least id of each group of near copies (word 5-grams, Jaccard 0.8).
+
+    Made for ids that are unique and not null: rows that repeat the least id of their group all stay, and so does
+    every row with a null id, though another of its group is kept.
+    """
     groups = ngram_components(docs, words=5, percent=80)
     return without_ids(docs, materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies"))
 

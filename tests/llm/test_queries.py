@@ -62,3 +62,12 @@ def test_stages_against_plain_ones(spark):
     mixed = kept("mixing", docs)
     words = {d: len(t.split()) for d, t in texts.items()}
     assert mixed <= set(texts) and abs(sum(words[d] for d in mixed) / sum(words.values()) - 0.9) < 0.1
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    """What the stage says of ids that are not unique: such rows stay, copies with other ids go."""
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text), (1, text), (2, text), (None, text), (3, "another text that is like no other one here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, DATA).collect()), key=str)
+    assert got == [1, 1, 3, None]
