@@ -64,10 +64,37 @@ def test_stages_against_plain_ones(spark):
     assert mixed <= set(texts) and abs(sum(words[d] for d in mixed) / sum(words.values()) - 0.9) < 0.1
 
 
+TEXT = " ".join(f"word{k}" for k in range(60))
+
+
 def test_near_copies_with_repeated_and_null_ids(spark):
-    """What the stage says of ids that are not unique: such rows stay, copies with other ids go."""
-    text = " ".join(f"word{k}" for k in range(60))
-    rows = [(1, text), (1, text), (2, text), (None, text), (3, "another text that is like no other one here")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, DATA).collect()), key=str)
-    assert got == [1, 1, 3, None]
+    """One row of each group stays, whatever the ids; nothing else goes."""
+    keep = lambda rows: sorted(map(tuple, corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()), key=str)
+    alone, other = "a text of its own that is like no other one here", "two words more than five of them"
+    assert keep([(5, TEXT), (5, alone), (2, TEXT), (7, other), (7, other)]) == sorted([(2, TEXT), (5, alone), (7, other)], key=str)
+    assert keep([(1, TEXT), (1, TEXT), (2, TEXT), (None, TEXT), (None, alone), (None, other), (9, other)]) == sorted([(1, TEXT), (None, alone), (9, other)], key=str)
+    assert keep([(None, TEXT), (None, TEXT + " x")]) == [(None, TEXT)] or keep([(None, TEXT), (None, TEXT + " x")]) == [(None, TEXT + " x")]
+
+
+ODD = [(1, None), (2, ""), (3, " \n"), (4, TEXT), (4, TEXT), (None, TEXT), (None, None), (5, "very long " * 30000), (6, "x" * 200_000), (7, "short"), (7, "other words")]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows(spark, name, stage):
+    """Nulls, empty and very long texts, repeats, columns with clashing names; empty tables."""
+    rows = [(d, t, "en" if k % 2 else None, None if k % 3 else "s", f"m{k}", k, f"r{k}") for k, (d, t) in enumerate(ODD)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix_tokens string, score long, row string")
+    out = stage(spark, docs, DATA)
+    got = [tuple(r) for r in out.collect()]
+    if name == "tokens":
+        assert sorted((r[0], r[1]) for r in got if r[0] is not None and r[1] == 0) == [(1, 0), (2, 0)] and len(got) == len(rows)
+    else:
+        assert out.dtypes == docs.dtypes and set(got) <= set(rows) and len(got) == len(set(got))
+    if name == "near_copies":
+        assert sorted(r[5] for r in got if r[1] != TEXT) == [k for k, r in enumerate(rows) if r[1] != TEXT] and sum(r[1] == TEXT for r in got) == 1
+    if name in ("quality", "toxicity"):
+        kept = {}
+        for r in rows:
+            kept.setdefault(r[1] or "", set()).add(r in got)
+        assert all(len(v) == 1 for v in kept.values())
+    assert stage(spark, docs.limit(0), DATA).count() == 0
