@@ -20,10 +20,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once under the shared folder and read it back: lineage is cut, and nothing is computed twice."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df once under the shared folder and read it back: lineage is cut, and nothing is computed twice.
+
+    With `by`, a column of few values, each value has a folder of its own, and who asks for one reads no other.
+    """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,12 +51,12 @@ def width(df: DataFrame, growth: float = 1.0, target: int = 48 << 20) -> int:
     return int(max(least, min(200_000, -(-input_bytes(df) * growth // target))))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python in batches of at most so many rows: whole texts are long, and a worker holds a batch several times over."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now > rows or now <= 0:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Hand rows to Python in batches of at most so many rows and bytes: whole texts and blobs are long, and a task holds a batch several times over."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(str(spark.conf.get(key)).rstrip("b"))
+        if now > most or now <= 0:
+            spark.conf.set(key, str(most))
 
 
 def tidy() -> None:
@@ -101,20 +104,24 @@ def dealt(df: DataFrame, n: int, bucket: str = "bucket") -> DataFrame:
     return df.repartitionById(n, F.col(bucket).cast("int"))
 
 
+#: Bytes of a packed byte string, about.
+BLOB = 1 << 20
 PACKED = "bucket int, blob binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
 
 def pack(bucket: np.ndarray, columns: list[np.ndarray], n: int) -> pa.RecordBatch:
-    """Rows of equal-length columns, packed into one byte string for each bucket: count, then each column's bytes."""
+    """Rows of equal-length columns, packed into byte strings of about BLOB bytes for each bucket: count, then each column's bytes."""
+    most = max(1, BLOB // max(1, sum(c.dtype.itemsize for c in columns)))
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(n + 1))
     columns = [c[order] for c in columns]
     buckets, blobs = [], []
     for b in np.flatnonzero(np.diff(ends)):
-        lo, hi = ends[b], ends[b + 1]
-        buckets.append(int(b))
-        blobs.append(np.int64(hi - lo).tobytes() + b"".join(c[lo:hi].tobytes() for c in columns))
+        for lo in range(ends[b], ends[b + 1], most):
+            hi = min(lo + most, ends[b + 1])
+            buckets.append(int(b))
+            blobs.append(np.int64(hi - lo).tobytes() + b"".join(c[lo:hi].tobytes() for c in columns))
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], schema=PACKED_ARROW)
 
 

@@ -404,7 +404,7 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85, doc_id:
     small_batches(spark)
     n = width(docs, growth=3.0)
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs, words, n))
-    met = materialize(_meet(_signatures(docs, words, percent, n, frequent), percent), "signatures")
+    met = materialize(_meet(_signatures(docs, words, percent, n, frequent), percent), "signatures", by="kind")
     rows = _unpacked(met, DOC, KINDS[DOC], "doc_id long, no_id long, n long, mark long, sketch binary", ["doc_id", "no_id", "n", "mark", "sketch"])
     rows = rows.withColumn("doc_id", F.when(F.col("no_id") == 0, F.col("doc_id")))
     sets = rows.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
