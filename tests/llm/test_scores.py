@@ -1,19 +1,23 @@
 """Quality, toxicity, mixing, licences, sharding."""
 
 import random
+import re
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from bizmatch.llm import licenses, mixing
 from bizmatch.llm.fitting import isotonic
 from bizmatch.llm.licenses import scan_licenses
 from bizmatch.llm.mixing import mixing_probabilities
-from bizmatch.llm.quality import NAMES, score_quality, statistics
+from bizmatch.llm.quality import FEATURES, KERNEL_WIDTH, NAMES, RIDGE, fit_quality, score_quality, statistics
 from bizmatch.llm.sharding import assign_shards, jump_hash
-from bizmatch.llm.toxicity import Scorer, _content, score_toxicity
+from bizmatch.llm.toxicity import CARRIER, FOLDS, LEAST, PIECES, POWERS, WINDOW, Scorer, chosen, evidence, fit_toxicity, plain_pieces, score_toxicity, telling, windows
 
 ODD = [(900_001, None), (900_002, ""), (900_003, " \n\t "), (900_004, "x" * 30000), (900_005, "word " * 30000), (None, "null id"), (900_006, "same"), (900_006, "same")]
 
@@ -80,12 +84,126 @@ def test_isotonic():
     assert np.interp(x, knots, values).mean() == pytest.approx(y.mean(), abs=0.02)
 
 
+def plain_windows(text):
+    """Words in a row of WINDOW bytes or a little more together, one word at a time."""
+    out, row = set(), b""
+    for w in re.findall(r"\w+", (text or "").lower()):
+        w = w.encode("utf-8", "replace")
+        while w:
+            row, w = row + b" " + w[:WINDOW], w[WINDOW:]
+            if len(row) >= WINDOW:
+                out.add(row + b" ")
+                row = b""
+    return out | ({row + b" "} if row else set())
+
+
 def test_windows():
-    s = Scorer(_content(["grumbix", "flotzen"]), _content(["usual", "words", "here"]))
-    assert s.window("grumbix") >= 3 and s.window("usual") == 0
-    assert s.evidence("usual words") == [0, 0, pytest.approx(np.log(3))] and s.evidence(None) == [0, 0, 0]
-    assert sum(s.evidence("usual GRUMBIX, words")[:2]) > 0
-    assert len(s.evidence("q" * 50 + "grumbix" + "q" * 5000)) == 3  # a long word is cut into windows
+    for t in (None, "", " \n", "Usual words, here", "q" * 500 + " é " + "x " * 300, "a b" * 2000):
+        assert windows(t) == plain_windows(t)
+    s = Scorer([["grumbix", "flotzen"], []], ["usual", "words", "here", "come", "again"])
+    assert (s.differences("usual words here, usual words come again and again").T[1] == 0).all()
+    toxic = s.differences("usual words here GRUMBIX, usual words come again and again flotzenix")
+    assert toxic[:, 0].max() >= 3 and (toxic[:, 1] == 0).all()
+    assert evidence(toxic, 1, 0.5)[0] > 0 and evidence(s.differences(None), 1, 1.0).tolist() == [0, 0]
+
+
+def lengths(content, many):
+    import zstandard
+
+    setup = zstandard.ZstdCompressionParameters(
+        window_log=17, chain_log=13, hash_log=13, search_log=6, min_match=4, target_length=32, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_dict_id=False, write_checksum=False,
+    )
+    known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(compression_params=setup)
+    z = zstandard.ZstdCompressor(dict_data=known, compression_params=setup)
+    return [len(z.compress(CARRIER + w)) for w in many]
+
+
+def test_toxicity_by_hand(spark):
+    """Dictionaries, evidence and calibration again from the labelled rows, one text at a time; then every score."""
+    docs, labels, truth = corpus(spark, 8)
+    rows = {(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()}
+    learn = {}
+    for d, t in rows:
+        if d in truth and d is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+            learn[t or ""] = max(learn.get(t or "", 0), truth[d][1])
+    fold = {t: xxhash64(t) % FOLDS for t in learn}
+    held = {t: {p for w in set(re.findall(r"\w+", t.lower())) for p in plain_pieces(w)} for t in learn}
+    words = Counter(w for t, y in learn.items() if not y for w in set(re.findall(r"\w+", t.lower())) if len(w) <= WINDOW)
+    usual = sorted(words, key=lambda w: (-words[w], w))[:600]
+    every = sorted({p for t, y in learn.items() if y for p in held[t]})
+
+    def dictionary(texts, most):
+        ones, zeros = ([t for t in texts if learn[t] == y] for y in (1, 0))
+        count = lambda of: np.array([c[p] for c in [Counter(p for t in of for p in held[t])] for p in every], float)
+        return chosen(every, telling(count(ones), count(zeros), len(ones), len(zeros)), most)
+
+    def content(pieces):
+        base = (" " + " ".join(reversed(usual)) + " ").encode() + CARRIER
+        return ((" " + "  ".join(reversed(pieces)) + " ").encode() if pieces is not None else b"") + base
+
+    def found(text, pieces, least, power):
+        many = sorted(plain_windows(text))
+        gain = [a - b for a, b in zip(lengths(content(None), many), lengths(content(pieces), many))]
+        return sum(g for g in gain if g >= least) / (len(many) + 4) ** power
+
+    model = fit_toxicity(docs, labels)
+    size = next(k for k in PIECES if dictionary(list(learn), k) == model.scorer.state[0][0])
+    assert sorted(model.scorer.state[1]) == sorted(usual) and model.least in LEAST and model.power in POWERS
+    others = {f: dictionary([t for t in learn if fold[t] != f], size) for f in range(FOLDS)}
+    s = np.array([found(t, others[fold[t]], model.least, model.power) for t in learn])
+    knots = isotonic(s, np.array([float(y) for y in learn.values()]))
+    for x, y in zip(knots, model.knots):
+        assert x == pytest.approx(y)
+    mine = dictionary(list(learn), size)
+    for r in score_toxicity(docs, labels).join(docs.select("doc_id", "text").distinct(), "doc_id").where("doc_id < 100 or doc_id > 900000").collect():
+        assert r["score"] == pytest.approx(np.clip(np.interp(found(r["text"], mine, model.least, model.power), *knots), 0, 1))
+
+
+def xxhash64(*values):
+    """Spark's hash of integers and strings in a row."""
+    h = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v
+        h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_quality_by_hand(spark):
+    """The fit again: all rows' features at once, normal equations solved once, violators pooled by hand."""
+    docs, labels, truth = corpus(spark, 9)
+    model = fit_quality(docs, labels)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect() if r["doc_id"] in truth and r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 != 0]
+    x, y = np.array([statistics(t) for _, t in rows]), np.array([truth[d][0] for d, _ in rows], float)
+    z = (x - x.mean(0)) / np.where(x.std(0) > 1e-9, x.std(0), 1.0)
+    rng = np.random.default_rng(5)
+    turns = rng.standard_normal((x.shape[1], FEATURES)) / KERNEL_WIDTH
+    phase = rng.uniform(0, 2 * np.pi, FEATURES)
+
+    def lift(z):
+        return np.hstack((np.sqrt(2 / FEATURES) * np.cos(np.clip(z, -10, 10) @ turns + phase), np.ones((len(z), 1))))
+
+    def solve(a, b):
+        penalty = np.diag([RIDGE * len(a) / 10] * FEATURES + [1e-9])
+        return np.linalg.solve(a.T @ a + penalty, a.T @ b)
+
+    a = lift(z)
+    assert a @ solve(a, y) == pytest.approx(model.lift(x) @ model.weights, abs=1e-6)
+    fold = np.array([xxhash64(struct.pack("<q", d), struct.pack("<i", 1)) % 5 for d, _ in rows])
+    outside = np.empty(len(y))
+    for f in range(5):
+        outside[fold == f] = a[fold == f] @ solve(a[fold != f], y[fold != f])
+    # the greatest lower set mean of all that start at or before a score: the isotonic fit by its definition
+    order = np.argsort(outside, kind="stable")
+    sums = np.concatenate(([0], np.cumsum(y[order])))
+    n = len(y)
+    fit = [max(min((sums[j + 1] - sums[i]) / (j + 1 - i) for j in range(k, n)) for i in range(k + 1)) for k in range(0, n, 37)]
+    assert np.interp(outside[order][::37], *model.knots) == pytest.approx(fit, abs=1e-6)
+    scores = {r["doc_id"]: r["score"] for r in score_quality(docs, labels).where("doc_id < 900").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 900").collect()}
+    z = (np.array([statistics(t) for t in texts.values()]) - x.mean(0)) / np.where(x.std(0) > 1e-9, x.std(0), 1.0)
+    want = np.clip(np.interp(lift(z) @ solve(a, y), *model.knots), 0, 1)
+    assert [scores[d] for d in texts] == pytest.approx(want, abs=1e-5)
 
 
 def test_rake():
