@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import uuid
 
 import numpy as np
@@ -16,8 +17,11 @@ LOCAL_SCRATCH = "/tmp/checkpoints/bizmatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir, or a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    """The shared folder that the cluster names in spark.checkpoint.dir, or a local one where it is unset and all runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (named or LOCAL_SCRATCH).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -45,9 +49,9 @@ def input_bytes(df: DataFrame) -> int:
     return sum(x for x in sizes if x < 1 << 60)  # rows from the driver have no known size
 
 
-def width(df: DataFrame, growth: float = 1.0, target: int = 48 << 20) -> int:
-    """Partitions for an exchange of growth x df's bytes, so that each holds about `target` bytes at any input size."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def width(df: DataFrame, growth: float = 1.0, target: int = 48 << 20, least: int = 1) -> int:
+    """Partitions for an exchange of growth x df's bytes, so that each holds about `target` bytes at any input size; `least` or more."""
+    least = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return int(max(least, min(200_000, -(-input_bytes(df) * growth // target))))
 
 
