@@ -68,7 +68,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", by:
     """A model learned from about FIT_ROWS labelled rows whose crc32(doc_id as text) mod `by` is not `held`.
 
     Moments, normal equations (one set for each fold, summed by partition) and the calibration's scores are
-    computed where the sample lies, in 8 partitions at most. Each row's calibration score comes from the weights
+    computed where the sample lies, in 8 partitions (of short rows; the texts are read by as many tasks as they
+    have). Each row's calibration score comes from the weights
     of the other folds. Without rows of both labels every score is the labels' mean, or 0.5.
     """
     rows = labelled_sample(docs, labels, label, remainder("doc_id", by) != held, FIT_ROWS, seed=4)
@@ -80,7 +81,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", by:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "y", "fold"])
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold")
-    fit = materialize(rows.select("text", "y", fold).mapInArrow(tidied(measure), "x array<double>, y int, fold int").coalesce(8), "fit")
+    fit = materialize(rows.select("text", "y", fold).mapInArrow(tidied(measure), "x array<double>, y int, fold int").repartition(8), "fit")
 
     def summed(of):
         def run(batches):
