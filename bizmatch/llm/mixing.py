@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -11,6 +11,8 @@ from .common import discard, materialize
 #: Up to so many cells (source x language x topic) are raked on the driver; more stay a table.
 DRIVER_CELLS = 100_000
 DIMENSIONS = ("source", "lang", "topic")
+#: Raking ends when no probability moves by more.
+TOLERANCE = 1e-9
 #: Stands for null in a dimension.
 NONE = "\x00"
 
@@ -56,22 +58,27 @@ def _raked_table(cells: DataFrame, power: float, targets: dict, keep: float, rou
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     p = cells.withColumn("p", F.lit(keep))
     for d in DIMENSIONS:
-        sums = cells.groupBy(d).agg(F.sum("tokens").alias("t")).withColumn("share", F.pow(F.col("t") / total, power) if d not in targets else F.lit(0.0))
+        share = F.when(F.col("t") > 0, F.pow(F.col("t") / max(1, total), power)).otherwise(0.0)
+        sums = cells.groupBy(d).agg(F.sum("tokens").alias("t")).withColumn("share", share)
         if d in targets:
-            given = F.create_map(*[x for kv in targets[d].items() for x in (F.lit(kv[0]), F.lit(float(kv[1])))])
-            sums = sums.withColumn("share", F.coalesce(given[F.col(d)], F.lit(0.0)))
-        whole = sums.agg(F.sum("share")).first()[0]
+            given = F.lit(0.0)
+            for value, x in targets[d].items():
+                given = F.when(F.col(d) == F.lit(value), F.lit(float(x))).otherwise(given)
+            sums = sums.withColumn("share", given)
+        whole = sums.agg(F.sum("share")).first()[0] or 1.0  # no share at all stays none
         p = p.join(sums.select(d, (F.col("share") / whole).alias(f"share_{d}")), d)
     p = materialize(p, "cells")
     for _ in range(rounds):
         last = p
-        for d in DIMENSIONS:
-            now = F.sum(F.col("tokens") * F.col("p")).over(Window.partitionBy(d))
-            p = p.withColumn("p", F.least(F.lit(1.0), F.when(now > 0, F.col("p") * F.col(f"share_{d}") * keep * total / now).otherwise(F.col("p"))))
+        for d in DIMENSIONS:  # sums are added up before they are joined: one value may have a third of the cells
+            now = F.col("now")
+            sums = p.groupBy(d).agg(F.sum(F.col("tokens") * F.col("p")).alias("now"))
+            scaled = F.when(now > 0, F.col("p") * (F.col(f"share_{d}") * keep * total / now)).otherwise(F.col("p"))
+            p = p.join(sums, d).withColumn("p", F.least(F.lit(1.0), scaled)).drop("now")
         p = materialize(p, "cells")
         moved = p.alias("x").join(last.alias("y"), list(DIMENSIONS)).agg(F.max(F.abs(F.col("x.p") - F.col("y.p")))).first()[0]
         discard(last)
-        if moved is None or moved < 1e-6:
+        if moved is None or moved < TOLERANCE:
             break
     return p.select(*DIMENSIONS, F.col("p").alias("probability"))
 
@@ -112,7 +119,7 @@ def mixing_probabilities(docs: DataFrame, targets: dict[str, dict[str, float]] |
                 share = tempered(sums / max(1.0, sums.sum()), temper)
             codes.append(code)
             shares.append(share)
-        p = rake(tokens, codes, shares, keep, rounds, 1e-9)
+        p = rake(tokens, codes, shares, keep, rounds, TOLERANCE)
         table = docs.sparkSession.createDataFrame([(r["source"], r["lang"], r["topic"], float(x)) for r, x in zip(rows, p)], "mix_source string, mix_lang string, mix_topic string, mix_probability double")
         table = F.broadcast(table)  # DRIVER_CELLS rows at most
     else:
