@@ -9,9 +9,12 @@ where a member passes this table look-up is x sent whole, and cosines are comput
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import PACKED, bucket_of, components, dealt, materialize, mix64, pack, u64, unpack, usable_vector, width
@@ -21,7 +24,9 @@ from .vectors import distances2, k_means, matrix, nearest, sample, scattered, us
 #: Vectors that centroids and codebooks are fitted on, about; the most lists; subspaces and codes of each.
 FIT_VECTORS, MOST_LISTS, SUBSPACES, CODES = 20_000, 4096, 8, 256
 #: Members of a list, of one label, that are held against each other at once: twice the mean, within these bounds; larger ones are split.
-CELL_LEAST, CELL_MOST = 256, 16_384
+CELL_LEAST, CELL_MOST = 256, 4096
+#: Rows of a block of products; what one vector's rows are dealt into before they are added up.
+TILE, SALTS = 1024, 64
 #: Of packed rows: members that are held against each other too, visitors, members that are held against visitors alone.
 MEMBER, VISITOR, APART = 0, 1, 2
 #: What rounding may add to a distance.
@@ -79,6 +84,47 @@ def _sent(kind: int, cell: np.ndarray, columns: list[np.ndarray], n: int) -> pa.
     return pa.RecordBatch.from_arrays([*out.columns, pa.array(np.full(out.num_rows, kind, np.int32))], names=["bucket", "blob", "kind"])
 
 
+def equal_rows(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, head) of each row, and (head, rep, m) of each head: rep is the first of the m rows of a label and vector.
+
+    A vector that very many rows hold has SALTS heads, each the first of a part of them, so that no task gets all.
+    Labels and vectors are told apart by 128 bits of hash.
+    """
+    keys = [F.xxhash64("label", "v").alias("k1"), F.xxhash64(F.lit(1), "v", "label").alias("k2")]
+    rows = listed.select("row", *keys, F.pmod(F.xxhash64("row"), F.lit(SALTS)).alias("salt"))
+    part = Window.partitionBy("k1", "k2", "salt")
+    rows = materialize(rows.select("row", "k1", "k2", F.min("row").over(part).alias("head"), F.count("*").over(part).alias("c")), "equal")
+    whole = Window.partitionBy("k1", "k2")
+    heads = rows.where("row = head").select("head", F.min("head").over(whole).alias("rep"), F.sum("c").over(whole).alias("m"))
+    return rows.select("row", "head"), materialize(heads, "heads")
+
+
+def links_of(y: np.ndarray, z: np.ndarray | None, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of y and z (of y and y, each once, without z) whose product is `cosine` or more, block by block."""
+    for a in range(0, len(y), TILE):
+        for b in range(a if z is None else 0, len(y) if z is None else len(z), TILE):
+            near = y[a : a + TILE] @ (y if z is None else z)[b : b + TILE].T >= cosine
+            i, j = np.nonzero(np.triu(near, 1) if z is None and a == b else near)
+            if len(i):
+                yield i + a, j + b
+
+
+def counted(rows: np.ndarray, weight: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+    """(row, n, root) of the rows that pairs link: n is the weight of their partners, root a row that they lead to."""
+    times = np.zeros(len(rows), np.int64)
+    a = b = np.empty(0, np.int64)
+    for i, j in pairs:
+        times += np.bincount(i, weight[j], len(rows)).astype(np.int64) + np.bincount(j, weight[i], len(rows)).astype(np.int64)
+        root = roots(len(rows), np.concatenate((a, i)), np.concatenate((b, j)))
+        a = np.flatnonzero(root != np.arange(len(rows)))  # a forest says as much as all pairs so far
+        b = root[a]
+    has = times > 0
+    if not has.any():
+        return None
+    root = roots(len(rows), a, b)
+    return pa.RecordBatch.from_arrays([pa.array(rows[has]), pa.array(times[has]), pa.array(rows[root[has]])], names=["row", "n", "root"])
+
+
 def vector_duplicates(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """Link vectors of the same label whose cosine is `cosine` or more.
 
@@ -88,9 +134,10 @@ def vector_duplicates(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "v
     with nothing. Rows that repeat a vector of their label link with each other. An empty table gives no rows; other columns
     are not read.
 
-    Links are counted where they are found, so that pairs are never sent on: a task returns each row's count and
-    one link for each but the first member of a component in its cell. Large lists of one label
-    are split into parts, each two of which meet in a cell of their own.
+    Equal vectors of a label are held against others once, and count as often as there are. Links are counted where
+    they are found, so that pairs are never sent on: a task returns each row's count and one link for each but the
+    first member of a component in its cell. Large lists of one label are split into parts, each two of which meet
+    in a cell of their own.
     """
     spark = vectors.sparkSession
     good, d = usable(vectors.where(F.col(label).isNotNull()), vec_id, vector)
@@ -126,14 +173,21 @@ def vector_duplicates(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "v
     every = materialize(every, "vectors")
     fine = every.where(F.col("label").isNotNull() & usable_vector(F.col("v")) & (F.size("v") == d)).select("vec_id", F.col("v").cast("array<double>"), "label", "row")
     listed = materialize(fine.mapInArrow(assign, "row long, label long, v binary, list long, cell long"), "lists")
+    members, heads = equal_rows(listed)
+    listed = materialize(listed.join(heads.where("head = rep").select(F.col("rep").alias("row"), "m"), "row"), "vectors-once")
     counts = listed.groupBy("cell").count()
-    most = min(CELL_MOST, max(CELL_LEAST, 2 * n // max(1, counts.count())))
-    large = {int(np.int64(r["cell"]).view(np.uint64)): -(-r["count"] // most) for r in counts.where(F.col("count") > most).collect()}  # n / most of them at most
-    split = spark.sparkContext.broadcast(large)
+    cells, n = counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    most = min(CELL_MOST, max(CELL_LEAST, 2 * n // max(1, cells)))
+    large = counts.where(F.col("count") > most).toArrow().sort_by("cell")  # 16 bytes each, n / most of them at most
+    split = spark.sparkContext.broadcast((large.column(0).to_numpy(), -(-large.column(1).to_numpy() // most)))
     n_buckets = width(listed, growth=4.0, target=16 << 20)
 
     def parts(cell: np.ndarray) -> np.ndarray:
-        return np.array([split.value.get(c, 1) for c in cell.tolist()], np.int64) if split.value else np.ones(len(cell), np.int64)
+        known, times = split.value
+        if not len(known):
+            return np.ones(len(cell), np.int64)
+        at = np.minimum(np.searchsorted(known, cell.view(np.int64)), len(known) - 1)
+        return np.where(known[at] == cell.view(np.int64), times[at], 1)
 
     def meeting(cell: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The cell where part b of a list's members meets part a, or itself."""
@@ -189,56 +243,54 @@ def vector_duplicates(vectors: DataFrame, cosine: float = 0.98, vec_id: str = "v
                     yield pa.RecordBatch.from_arrays([pa.array(rows[part][hit]), pa.array(np.full(int(hit.sum()), cell, np.uint64).view(np.int64))], names=["row", "to"])
 
     looked = dealt(listed.mapInArrow(look_up, PACKED + ", kind int"), n_buckets).mapInArrow(pass_look_up, "row long, to long")
-    visits = looked.join(listed.select("row", "v"), "row").select("row", "v", "to")
+    visits = looked.join(listed.select("row", "v", "m"), "row").select("row", "v", "to", "m")
 
     def whole(batches):
         """Members to their part, and to the cells where it meets the other parts of a split list."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, cell = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            rows, cell, m = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy()
             v = np.frombuffer(b"".join(batch.column(1).to_pylist()), v_kind)
             p, times = own_part(cell, rows), parts(cell)
-            yield _sent(MEMBER, meeting(cell, p, p), [rows, v], n_buckets)
+            yield _sent(MEMBER, meeting(cell, p, p), [rows, m, v], n_buckets)
             rep, other = spread(np.where(times > 1, times, 0))
             for kind, pick in ((APART, other < p[rep]), (VISITOR, other > p[rep])):
                 r, o = rep[pick], other[pick]
                 if len(r):
-                    yield _sent(kind, meeting(cell[r], np.minimum(o, p[r]), np.maximum(o, p[r])), [rows[r], v[r]], n_buckets)
+                    yield _sent(kind, meeting(cell[r], np.minimum(o, p[r]), np.maximum(o, p[r])), [rows[r], m[r], v[r]], n_buckets)
 
     def visiting(batches):
         for batch in batches:
             if batch.num_rows:
                 v = np.frombuffer(b"".join(batch.column(1).to_pylist()), v_kind)
-                yield _sent(VISITOR, batch.column(2).to_numpy().view(np.uint64), [batch.column(0).to_numpy(), v], n_buckets)
+                yield _sent(VISITOR, batch.column(2).to_numpy().view(np.uint64), [batch.column(0).to_numpy(), batch.column(3).to_numpy(), v], n_buckets)
 
     def count(batches):
         blobs = _by_kind(batches)
-        kinds = [np.uint64, np.int64, v_kind]
+        kinds = [np.uint64, np.int64, np.int64, v_kind]
         guests = _cells(blobs[VISITOR], kinds)
+        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, v_kind)
         for own, cells in ((True, _cells(blobs[MEMBER], kinds)), (False, _cells(blobs[APART], kinds))):
-            for cell, (rows, v) in cells.items():
-                y, (g_rows, g) = unit(v), guests.get(cell, (np.empty(0, np.int64), np.empty(0, v_kind)))
-                found = []
-                if own:
-                    near = np.triu(y @ y.T >= cosine, 1)
-                    found.append(np.nonzero(near))
-                for lo in range(0, len(g_rows), 4096):
-                    a, b = np.nonzero(y @ unit(g[lo : lo + 4096]).T >= cosine)
-                    found.append((a, b + lo + len(rows)))
-                a, b = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, int), np.empty(0, int))
-                if len(a):
-                    everyone = np.concatenate((rows, g_rows))
-                    root = roots(len(everyone), a, b)
-                    times = np.bincount(np.concatenate((a, b)), minlength=len(everyone))
-                    has = times > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(everyone[has]), pa.array(times[has]), pa.array(everyone[root[has]])], names=["row", "n", "root"])
-
-    sent = listed.select("row", "v", "cell").mapInArrow(whole, PACKED + ", kind int").unionByName(visits.mapInArrow(visiting, PACKED + ", kind int"))
+            for cell, (rows, m, v) in cells.items():
+                y, (g_rows, g_m, g) = unit(v), guests.get(cell, none)
+                pairs = links_of(y, None, cosine) if own else iter(())
+                if len(g):
+                    pairs = chain(pairs, ((a, b + len(rows)) for a, b in links_of(y, unit(g), cosine)))
+                found = counted(np.concatenate((rows, g_rows)), np.concatenate((m, g_m)), pairs)
+                if found:
+                    yield found
+
+    sent = listed.select("row", "v", "cell", "m").mapInArrow(whole, PACKED + ", kind int").unionByName(visits.mapInArrow(visiting, PACKED + ", kind int"))
     found = materialize(dealt(sent, n_buckets).mapInArrow(count, "row long, n long, root long"), "links")
-    links = found.groupBy("row").agg(F.sum("n").alias("n_links"))
-    group = components(found, "row", "root").withColumnRenamed("node", "row")
-    named = every.select("row", "vec_id").join(group, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    least = named.where("vec_id is not null").groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    out = named.join(least, "component", "left").join(links, "row", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    links = found.groupBy(F.col("row").alias("rep")).agg(F.sum("n").alias("n"))
+    group = components(found, "row", "root").withColumnRenamed("node", "rep")
+    # what follows is known of each head, and joined to the rows by their heads: SALTS of them share a common vector
+    heads = heads.join(links, "rep", "left").join(group, "rep", "left")
+    heads = heads.select("head", (F.col("m") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    named = materialize(members.join(every.select("row", "vec_id"), "row"), "named")
+    least = named.groupBy("head").agg(F.min("vec_id").alias("vec_id")).join(heads, "head").groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    heads = materialize(heads.join(least, "component").select("head", "n_links", "component_id"), "heads")
+    linked = named.join(heads, "head").select("vec_id", "n_links", "component_id")
+    apart = every.join(members.select("row"), "row", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(apart).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
