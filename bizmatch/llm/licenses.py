@@ -6,12 +6,13 @@ DataFrame functions only.
 from __future__ import annotations
 
 import functools
+import json
 import math
 import re
 from collections import Counter
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -98,27 +99,47 @@ def template_weights(templates=TEMPLATES) -> tuple[list[tuple[int, str, float]],
     return rows, idf, math.log(1 + n) + 1
 
 
-def _cued(text: Column) -> Column:
-    low = F.lower(text)
+def _held(low: Column) -> Column:
     out = F.lit(False)
     for cue in CUES:
         out = out | low.contains(cue)
     return out
 
 
+def _cued(text: Column) -> Column:
+    """Whether a line holds a cue; in an array of one, so that its lower case is made once."""
+    return F.exists(F.array(F.lower(text)), _held)
+
+
 def _cued_text(text: Column) -> Column:
-    """Whether a text holds a cue, the two of two words across line breaks and comment signs too."""
-    low = F.lower(text)
-    return _cued(text) | ((low.contains("reserved") | low.contains("domain")) & low.rlike("rights[^a-z0-9]+reserved|public[^a-z0-9]+domain"))
+    """Whether a text holds a cue, the two of two words across line breaks and comment signs too; false for null."""
+    across = lambda low: (low.contains("reserved") | low.contains("domain")) & low.rlike("rights[^a-z0-9]+reserved|public[^a-z0-9]+domain")
+    return F.coalesce(F.exists(F.array(F.lower(text)), lambda low: _held(low) | across(low)), F.lit(False))
+
+
+def _listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table, from one literal."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(text), "array<struct<" + schema.replace(", ", ",").replace(" ", ":") + ">>"))))
+
+
+#: A table of at most so many short rows, as counted, is sent to all tasks; a larger one is joined by its key.
+SENT = 200_000
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with what table (materialized, one row for each key) has of their key, if anything."""
+    return rows.join(F.broadcast(table) if table.count() <= SENT else table, key, "left")
 
 
 def _matches(segments: DataFrame, keys: list[str], text: str, least: float, templates=TEMPLATES) -> DataFrame:
     """keys, license, score of the best template for each segment, if its cosine is `least` or more."""
     spark = segments.sparkSession
     rows, idf, other = template_weights(templates)
-    weights = F.broadcast(spark.createDataFrame([(k, w, x) for k, w, x in rows], "template int, word string, weight double"))  # the templates' words
-    idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
-    names = F.broadcast(spark.createDataFrame([(k, x[0]) for k, x in enumerate(templates)], "template int, license string"))
+    weights = _listed(spark, rows, "template int, word string, weight double")  # the templates' words
+    idfs = _listed(spark, sorted(idf.items()), "word string, idf double")
+    names = _listed(spark, [(k, x[0]) for k, x in enumerate(templates)], "template int, license string")
     words = segments.select(*keys, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
     counts = words.groupBy(*keys, "word").count().join(idfs, "word", "left")
     counts = counts.withColumn("w", F.col("count") * F.coalesce("idf", F.lit(other)))
@@ -147,10 +168,10 @@ def _window_matches(cued: DataFrame) -> DataFrame:
     # each spot with the words around it; those before the text are left out
     start = lambda x: F.greatest(x["i"] - F.lit(most) + 1, F.lit(0))
     around = F.transform(spots, lambda x: F.struct(x["stem"].alias("stem"), (x["i"] - start(x)).alias("at"), F.slice("words", start(x) + 1, F.lit(2 * most)).alias("near")))
-    places = F.broadcast(cued.sparkSession.createDataFrame(_places(), "stem int, before int, length int"))
+    places = _listed(cued.sparkSession, _places(), "stem int, before int, length int")
     rows = cued.select("id", F.explode(around).alias("x")).select("id", "x.*").join(places, "stem").where("at >= before")
-    windows = rows.select("id", F.array_join(F.slice("near", F.col("at") - F.col("before") + 1, F.col("length")), " ").alias("window"))
-    windows = windows.select(F.xxhash64("window").alias("window_id"), "id", "window").dropDuplicates(["window_id", "id"])
+    windows = rows.select("id", F.array_join(F.slice("near", F.greatest(F.col("at") - F.col("before") + 1, F.lit(1)), F.col("length")), " ").alias("window"))
+    windows = windows.select(F.md5("window").alias("window_id"), "id", "window").dropDuplicates(["window_id", "id"])
     found = _matches(windows.select("window_id", "window").dropDuplicates(["window_id"]), ["window_id"], "window", WINDOW, (*TEMPLATES, *NOTICES))
     return windows.select("id", "window_id").join(found, "window_id").select("id", "license", "score")
 
@@ -180,8 +201,8 @@ def _full_matches(cued: DataFrame) -> DataFrame:
 
     Single words would not do: any long text shares the frequent ones.
     """
-    grams = F.broadcast(cued.sparkSession.createDataFrame(_full_texts(), "license string, gram string, weight double"))  # the licences' words
-    three = F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.array_join(F.slice("words", i, 3), " "))
+    grams = _listed(cued.sparkSession, _full_texts(), "license string, gram string, weight double")  # the licences' words
+    three = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1))), lambda i: F.array_join(F.slice("words", i, 3), " "))
     counts = cued.where("size(words) > 2").select("id", F.explode(three).alias("gram")).groupBy("id", "gram").count()
     norms = counts.groupBy("id").agg(F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("norm"))
     dots = counts.join(grams, "gram").groupBy("id", "license").agg(F.sum(F.col("count") * F.col("weight")).alias("dot"))
@@ -207,13 +228,16 @@ def scan_licenses(files: DataFrame, path: Column, doc_id: str = "doc_id", text:
     are not read.
 
     Words that no template has count in a text's length, so that long lines that merely mention a licence stay
-    below. The templates are the only thing that is broadcast; lines without a cue never leave the scan.
+    below. Templates are broadcast, and licences by text and by folder where a count finds few enough; lines without a
+    cue never leave the scan.
     """
     rows = files.select(F.col(doc_id).alias("doc_id"), path.cast("string").alias("path"), F.col(text).alias("text"))
-    cued = rows.where(_cued_text(F.col("text"))).withColumn("id", F.xxhash64("text")).select("id", "text").dropDuplicates(["id"])
+    # two reads of the texts: short rows of all files, with an id for those with a cue, and the texts with a cue, each once
+    short = materialize(rows.select("doc_id", "path", F.when(_cued_text(F.col("text")), F.md5("text")).alias("id")), "files")
+    cued = rows.where(_cued_text(F.col("text"))).select(F.md5("text").alias("id"), "text").dropDuplicates(["id"])
     cued = materialize(cued.withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))), "cued")
     lines = cued.select("id", F.posexplode(F.filter(F.split("text", "[\n\r]+"), lambda x: _cued(x))).alias("line", "notice"))
-    lines = lines.withColumn("notice", F.trim("notice")).select(F.xxhash64("notice").alias("notice_id"), "id", "notice")
+    lines = lines.withColumn("notice", F.trim("notice")).select(F.md5("notice").alias("notice_id"), "id", "notice")
     notices = _matches(lines.select("notice_id", "notice").dropDuplicates(["notice_id"]), ["notice_id"], "notice", HEADER)
     best = lambda: F.max_by(F.struct("license", "score"), F.struct(F.col("score"), F.col("license")))
     own = lines.select("id", "notice_id").join(notices, "notice_id").select("id", "license", "score")
@@ -222,23 +246,22 @@ def scan_licenses(files: DataFrame, path: Column, doc_id: str = "doc_id", text:
     whole = whole.join(_full_matches(cued), "id", "full").select("id", F.coalesce("all", "full").alias("all"))
     # what follows reads it several times
     kinds = materialize(own.join(whole, "id", "full"), "kinds")
-    has = F.coalesce(_cued_text(F.col("text")), F.lit(False))
-    found = rows.where(has).select("doc_id", "path", F.xxhash64("text").alias("id")).join(kinds, "id", "left")
-    # most texts have no cue: they meet no notice, and their null key no task
+    # most texts have no cue: they meet no notice, and their null id no task
     kind = F.lit(None).cast("struct<license:string,score:double>")
-    found = found.unionByName(rows.where(~has).select("doc_id", "path", F.lit(None).cast("long").alias("id"), kind.alias("own"), kind.alias("all")))
+    found = _looked_up(short.where("id is not null"), kinds, "id").select("doc_id", "path", "own", "all")
+    found = found.unionByName(short.where("id is null").select("doc_id", "path", kind.alias("own"), kind.alias("all")))
     base = F.lower(F.regexp_extract("path", "([^/]*)$", 1))
     is_file = F.col("all").isNotNull() | (F.col("own").isNotNull() & F.regexp_extract(base, "^([a-z]+)", 1).isin(*LICENCE_FILES))
-    found = found.select(
+    found = materialize(found.select(
         "doc_id", "path", is_file.alias("is_file"), F.when(F.col("own.license") != F.col("all.license"), F.when(F.col("own.score") > F.col("all.score"), F.col("own")).otherwise(F.col("all"))).otherwise(F.coalesce("all", "own")).alias("mine"), folder(F.col("path")).alias("folder"),
-    )
+    ), "found")
     folders = found.where("is_file and path is not null").groupBy("folder").agg(F.max_by("mine", F.struct(F.col("mine.score"), F.col("mine.license"))).alias("theirs")).select(F.col("folder").alias("above"), "theirs")
     # ancestors are joined once for each folder, not for each file
     bare = found.where("mine is null and path is not null").select("folder").distinct()
     steps = F.split("folder", "/")
     above = bare.select("folder", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))).alias("above"))
     heirs = above.join(folders, "above").groupBy("folder").agg(F.max_by("theirs", F.length("above")).alias("theirs"))
-    out = found.join(heirs, "folder", "left")
+    out = _looked_up(found, materialize(heirs, "heirs"), "folder")
     mine, theirs = F.col("mine"), F.when(F.col("mine").isNull(), F.col("theirs"))
     return out.select(
         "doc_id", "path", F.coalesce(mine["license"], theirs["license"]).alias("license"),
