@@ -146,9 +146,22 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("v", F.lit(1)).withColumn("row", F.lit("x")).withColumn("rank", F.lit(0))
 
 
-def test_nearest_neighbours(spark):
-    rows = vectors(1)
-    ok = fine(rows)
+def clusters(seed, n=3000, d=24):
+    rng = np.random.default_rng(seed)
+    x = (rng.standard_normal((30, d))[rng.integers(0, 30, n)] * 4 + rng.standard_normal((n, d))).astype(np.float32)
+    return [(k, [float(v) for v in x[k]], 1) for k in range(n)] + [(None, [1.0] * d, 1), (None, None, None)]
+
+
+def test_probes_of_clusters_are_few():
+    x = np.array([r[1] for r in clusters(5) if r[0] is not None])
+    centres = ann.k_means(x, 55)
+    assert ann.probes_measured(x, centres, 10) < 20 < ann.probes_measured(np.random.default_rng(1).standard_normal((3000, 64)), np.random.default_rng(2).standard_normal((55, 64)), 10)
+
+
+@pytest.mark.parametrize("make", [vectors, clusters])
+def test_nearest_neighbours(spark, make):
+    rows = [r for r in make(1) if make is clusters or r[0] is not None] + [(None, [0.5] * 24, 1)]
+    ok = [r for r in fine(rows) if r[0] is not None]
     ids, x = np.array([r[0] for r in ok]), np.array([r[1] for r in ok])
     got = {}
     for r in nearest_neighbours(frame(spark, rows), F.col("vec_id") % 10 == 0, k=10).orderBy("query_id", "rank").collect():
@@ -169,8 +182,8 @@ def test_nearest_neighbours(spark):
 
 
 def test_nearest_neighbours_few_and_none(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PROBE_LEAST", 1)
-    rows = [(100, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [5.0, 0.0], 1), (3, [0.0, 1.0], 1)]
+    monkeypatch.setattr(ann, "FIRST", 1)
+    rows = [(None, [1.0, 0.0], 1), (100, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (2, [5.0, 0.0], 1), (3, [0.0, 1.0], 1)]
     got = [(r["rank"], r["vec_id"], r["score"]) for r in nearest_neighbours(frame(spark, rows), F.col("vec_id") == 100, k=10).orderBy("rank").collect()]
     assert got == [(1, 1, 0.0), (2, 2, 0.0), (3, 3, pytest.approx(2**0.5))]
     assert nearest_neighbours(frame(spark, []), F.lit(True)).count() == 0
@@ -204,6 +217,26 @@ def test_vector_duplicates(spark, monkeypatch, least):
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_duplicates(frame(spark, rows)).collect()} == want
 
 
+def test_links_of_many_equal_vectors(spark):
+    """Equal vectors are collapsed: a task never holds all of them, and counts are as if it did."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3, 8))
+    near = x[0] + 0.01 * rng.standard_normal(8)
+    rows = [(k, [float(v) for v in x[0]], 1) for k in range(5, 30_005)] + [(2, [float(v) for v in near], 1), (3, [float(v) for v in x[1]], 1), (4, [float(v) for v in x[0]], 2)]
+    got = Counter((r["n_links"], r["component_id"], r["kept"]) for r in vector_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == {(30_000, 2, False): 30_000, (30_000, 2, True): 1, (0, 3, True): 1, (0, 4, True): 1}
+
+
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_tiles(monkeypatch, tile):
+    monkeypatch.setattr(vecdedup, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    y, z = rng.standard_normal((20, 3)), rng.standard_normal((11, 3))
+    for a, b in ((y, None), (y, z)):
+        got = {(int(i), int(j)) for x in vecdedup.links_of(a, b, 0.5) for i, j in zip(*x)}
+        assert got == {(i, j) for i in range(20) for j in range(20 if b is None else 11) if (i < j or b is not None) and a[i] @ (a if b is None else b)[j] >= 0.5}
+
+
 def test_vector_duplicates_repeats_and_none(spark):
     rows = [(4, [1.0, 2.0], 1), (4, [1.0, 2.0], 1), (3, [2.0, 4.0], 1), (9, [1.0, 2.0], 2), (None, [1.0, 2.0], 1)]
     got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in vector_duplicates(frame(spark, rows)).collect())

@@ -224,6 +224,42 @@ def mix_docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("mix_tokens", F.lit("clash")).withColumn("topic", F.lit("own"))
 
 
+MIXES = [{}, {"source": {"a": 1, "b": 1}}, {"source": {"a": 1}, "lang": {"en": 2, "fr": 1}}, {"source": {"nowhere": 1}}, {"topic": {}}]
+
+
+@pytest.mark.parametrize("targets", MIXES)
+def test_mixing_against_plain_raking(spark, monkeypatch, targets):
+    """Cells, shares, probabilities and draws by a plain loop; the driver's way and the table's give the same."""
+    docs = mix_docs(spark)
+    rows = [(r["doc_id"], r["source"] or mixing.NONE, r["lang"] or mixing.NONE, r["mix_topic"], r["mix_tokens"], r["mix_probability"], r["mix_sampled"], r["text"]) for r in mixing_probabilities(docs, targets=targets, keep=0.3).collect()]
+    cells = Counter()
+    for _, s, lang, topic, n, _, _, text in rows:
+        assert n == len((text or "").split()) or n == 1 and text
+        cells[s, lang, topic] += n
+    total, p = sum(cells.values()), {c: 0.3 for c in cells}
+    shares = []
+    for k, d in enumerate(mixing.DIMENSIONS):
+        sums = Counter()
+        for c, n in cells.items():
+            sums[c[k]] += n
+        share = {v: float(targets[d].get(v, 0)) if d in targets else (n / total) ** 0.7 if n else 0.0 for v, n in sums.items()}
+        shares.append({v: x / (sum(share.values()) or 1) for v, x in share.items()})
+    for _ in range(200):
+        for k, share in enumerate(shares):
+            now = Counter()
+            for c, n in cells.items():
+                now[c[k]] += n * p[c]
+            p = {c: min(1.0, x * share[c[k]] * 0.3 * total / now[c[k]]) if now[c[k]] > 0 else x for c, x in p.items()}
+    for d, s, lang, topic, _, x, sampled, _ in rows:
+        assert x == pytest.approx(p[s, lang, topic], abs=1e-6)
+        draw = (xxhash64(*([struct.pack("<q", d)] if d is not None else []), struct.pack("<i", 20)) % (1 << 64) >> 11) / 2**53
+        assert sampled == (draw < x)
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 1)
+    table = {(r["doc_id"], r["text"]): r["mix_probability"] for r in mixing_probabilities(docs, targets=targets, keep=0.3, rounds=12).collect()}
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", 1000)
+    assert table == {k: pytest.approx(v, abs=1e-9) for k, v in {(r["doc_id"], r["text"]): r["mix_probability"] for r in mixing_probabilities(docs, targets=targets, keep=0.3, rounds=12).collect()}.items()}
+
+
 def test_mixing(spark, monkeypatch):
     docs = mix_docs(spark)
     got = mixing_probabilities(docs, targets={"source": {"a": 1, "b": 1}}, keep=0.3)
@@ -235,10 +271,11 @@ def test_mixing(spark, monkeypatch):
     kept = sum(r["mix_tokens"] for r in rows if r["mix_sampled"])
     assert kept == pytest.approx(0.3 * total, rel=0.1)
     assert len({r["mix_sampled"] for r in rows if r["doc_id"] == 7}) == 1
-    monkeypatch.setattr(mixing, "DRIVER_CELLS", 3)
-    table = {str(r["doc_id"]): r["mix_probability"] for r in mixing_probabilities(docs, targets={"source": {"a": 1, "b": 1}}, keep=0.3).collect()}
-    assert all(table[str(r["doc_id"])] == pytest.approx(r["mix_probability"], abs=1e-3) for r in rows if r["doc_id"] != 7)
-    assert mixing_probabilities(docs.limit(0)).count() == 0
+    for cells in (1000, 1):
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)
+        assert mixing_probabilities(docs.limit(0)).count() == 0
+        empty = docs.where("doc_id = 5000 or doc_id = 5001")
+        assert [r["mix_probability"] for r in mixing_probabilities(empty, keep=0.3).collect()] == [0.3, 0.3]
 
 
 def test_licenses(spark):
