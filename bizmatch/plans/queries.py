@@ -6,7 +6,6 @@ made from the number of shared keys, so that both engines can follow.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from string import punctuation
 
@@ -22,14 +21,13 @@ from ..operators import select as S
 from ..operators import training as R
 from ..operators.scoring import MatchModel
 from ..schema import CANDIDATES, RECORD, Config
-from ..sources.adapters import docs_as_business, docs_truth, parts_as_business, whole_docs, whole_texts
+from ..sources.adapters import docs_as_business, docs_truth, parts_as_business, whole_texts
+from ..session import scratch_path
 from ..sources.files import load_data, run_summary, write_tsv
 from .resolve import rescore, resolve, score_all, train
 
-#: Block limit of the queries over parts that are held against SQL, which has it too; those without SQL and the
-#: `_whole` ones run with the operators' own limit. And candidates of each record.
-PART_BLOCK, TOP_K = 40, 30
-WHOLE_BLOCK = Config().max_block_size
+#: The operators' own limits: postings of a key, candidates of a record, entities that are trained on.
+BLOCK, TOP_K, ENTITIES = Config().max_block_size, 30, Config().train_entities
 RECORD_COLUMNS = [f.name for f in RECORD.fields]
 
 
@@ -38,7 +36,7 @@ def _prepared(spark: SparkSession, d: str, of=parts_as_business) -> tuple[DataFr
     return rows.where("source = 1"), rows.where("source > 1")
 
 
-def _found(spark: SparkSession, d: str, of=docs_as_business, block: int = 10_000, text: str = "clean") -> DataFrame:
+def _found(spark: SparkSession, d: str, of=docs_as_business, block: int = BLOCK, text: str = "clean") -> DataFrame:
     q, t = _prepared(spark, d, of)
     return B.candidates(q, t, TOP_K, block, text)
 
@@ -48,14 +46,14 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, d).select(F.col("q_id").alias("s1_id"), F.col("t_id").alias("cand_id"), "rank", F.round(F.col("overlap") / (F.col("overlap") + 2), 6).alias("score"))
 
 
-def _features(spark: SparkSession, d: str, block: int = PART_BLOCK) -> DataFrame:
+def _features(spark: SparkSession, d: str) -> DataFrame:
     q, t = _prepared(spark, d)
-    pairs = B.candidates(q, t, TOP_K, block).select(F.col("q_id").alias("s1_id"), F.col("t_id").alias("cand_id"), "rank")
+    pairs = B.candidates(q, t, TOP_K, BLOCK).select(F.col("q_id").alias("s1_id"), F.col("t_id").alias("cand_id"), "rank")
     return P.featured(pairs, q, t)
 
 
-def _some(*names: str, block: int = PART_BLOCK):
-    return lambda s, d: _features(s, d, block).select("s1_id", "cand_id", *[F.round(n, 6).alias(n) for n in names])
+def _some(*names: str):
+    return lambda s, d: _features(s, d).select("s1_id", "cand_id", *[F.round(n, 6).alias(n) for n in names])
 
 
 def _text(of, **columns) -> Callable:
@@ -74,16 +72,13 @@ def _keys_table(s, d, of=parts_as_business):
     return out
 
 
-def _hot(block: int):
-    return lambda s, d: B.prune_hot_keys(_keys_table(s, d)[1], block).select("entity_id", "country", "key")
+def _hot(s, d):
+    return B.prune_hot_keys(_keys_table(s, d)[1], BLOCK).select("entity_id", "country", "key")
 
 
-def _overlap(block: int):
-    return lambda s, d: B.pair_overlap(B.postings(_prepared(s, d)[0]), B.prune_hot_keys(B.postings(_prepared(s, d)[1]), block)).select("q_id", "t_id", "overlap", "first_pos")
-
-
-def _topk(block: int):
-    return lambda s, d: _found(s, d, parts_as_business, block).select("q_id", "t_id", "overlap", "rank")
+def _overlap(s, d):
+    q, t = _prepared(s, d)
+    return B.pair_overlap(B.postings(q), B.prune_hot_keys(B.postings(t), BLOCK)).select("q_id", "t_id", "overlap", "first_pos")
 
 
 def _lists(s, d, of=docs_as_business):
@@ -115,7 +110,7 @@ def _feature_dataset(s, d):
 
 def _classifier(s, d):
     """Scores of a small classifier, trained and applied on the pairs of documents."""
-    rows = whole_docs(s, d)
+    rows = docs_as_business(s, d)
     s1, t = rows.where("source = 1"), rows.where("source > 1")
     model = train(s1, t, docs_truth(rows)[1], max_iter=3, validate=False)
     scored, _ = score_all(s1, t, model)
@@ -137,12 +132,6 @@ def _sweep(s, d):
 
 
 def _semi(s, d):
-    q, t = _prepared(s, d, docs_as_business)
-    lists = _lists(s, d)
-    return P.semi_reduce(P.pair_distinct(P.explode_candidates(lists)), q.where("row_idx % 2 = 0"), t.where("row_idx % 5 <> 0")).select("s1_id", "cand_id")
-
-
-def _semi_whole(s, d):
     """Lists with unknown ids on both sides, reduced to the known records."""
     q, t = _prepared(s, d, docs_as_business)
     lists = _lists(s, d)
@@ -157,10 +146,10 @@ def _distinct(s, d):
     return P.pair_distinct(P.explode_candidates(twice)).select("s1_id", "cand_id")
 
 
-def _positives(s, d, entities=200):
+def _positives(s, d):
     q, t = _prepared(s, d, docs_as_business)
     _, truth = docs_truth(docs_as_business(s, d))
-    return R.positives(truth, q, t, entities)
+    return R.positives(truth, q, t, ENTITIES)
 
 
 def _negatives(s, d):
@@ -175,33 +164,27 @@ def _resolved(s, d):
 
 
 def _docs_resolved(s, d):
-    rows = whole_docs(s, d)
+    rows = docs_as_business(s, d)
     return resolve(rows.where("source = 1"), rows.where("source > 1"), config=Config(threshold=0.62))
 
 
 def _rescored(s, d):
-    rows = whole_docs(s, d)
-    return rescore(rows.where("source = 1"), rows.where("source > 1"), _lists(s, d, whole_docs))
+    rows = docs_as_business(s, d)
+    return rescore(rows.where("source = 1"), rows.where("source > 1"), _lists(s, d))
 
 
 def _heuristic(s, d):
-    return MatchModel().score(_features(s, d, WHOLE_BLOCK)).select("s1_id", "cand_id", F.round("score", 6).alias("score"))
+    return MatchModel().score(_features(s, d)).select("s1_id", "cand_id", F.round("score", 6).alias("score"))
 
 
 def _tsv(s, d):
-    from pathlib import Path
-
-    base = s.conf.get("spark.checkpoint.dir", None) or str(Path(tempfile.gettempdir()) / "checkpoints")
-    path = f"{base.rstrip('/')}/tsv-{abs(hash(d))}"
+    path = scratch_path(s, "tsv")
     write_tsv(docs_as_business(s, d).select(*RECORD_COLUMNS), path)
     return load_data(s, path).select(*RECORD_COLUMNS)
 
 
 def _list_file(s, d):
-    from pathlib import Path
-
-    base = s.conf.get("spark.checkpoint.dir", None) or str(Path(tempfile.gettempdir()) / "checkpoints")
-    path = f"{base.rstrip('/')}/lists-{abs(hash(d))}"
+    path = scratch_path(s, "lists")
     write_tsv(_lists(s, d), path)
     return load_data(s, path, CANDIDATES).drop("row_idx")
 
@@ -217,41 +200,29 @@ NATIVE = ("stripped_exact", "first_token_match", "common_token_frac", "name_leng
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "records_parts": lambda s, d: parts_as_business(s, d),
     "records_docs": lambda s, d: docs_as_business(s, d).drop("mark"),
-    "clean_text": lambda s, d: docs_as_business(s, d).select("entity_id", T.clean_text("business_name").alias("clean")),
-    "clean_text_whole": _text(whole_texts, clean=lambda: T.clean_text("text")),
+    "clean_text": _text(whole_texts, clean=lambda: T.clean_text("text")),
     "normalize_abbreviations": _text(parts_as_business, norm=lambda: T.normalize_abbreviations(T.clean_text("business_address"))),
     "strip_legal_suffixes": _text(parts_as_business, stripped=lambda: T.strip_legal_suffixes(T.clean_text("business_name"))),
     "extract_numbers": _text(parts_as_business, numbers=lambda: T.extract_numerical_tokens(T.clean_text("business_address"))),
     "normalize_ampersand": _text(parts_as_business, amp=lambda: T.normalize_ampersand("business_name")),
     "normalize_name": _text(parts_as_business, name=lambda: T.normalize_name_for_matching("business_name")),
-    "tokens": _text(docs_as_business, n_tokens=lambda: F.size(T.tokens(T.clean_text("business_address"))), first=lambda: T.first_token(T.clean_text("business_address"))),
-    "tokens_whole": _text(whole_texts, n_tokens=lambda: F.size(T.tokens(T.clean_text("text"))), first=lambda: T.first_token(T.clean_text("text"))),
-    "significant_words_whole": _text(whole_texts, words=lambda: F.array_join(T.significant_words(T.clean_text("text"), 3), " ")),
-    "significant_words": _text(docs_as_business, words=lambda: F.array_join(T.significant_words(T.clean_text("business_name"), 3), " ")),
+    "tokens": _text(whole_texts, n_tokens=lambda: F.size(T.tokens(T.clean_text("text"))), first=lambda: T.first_token(T.clean_text("text"))),
+    "significant_words": _text(whole_texts, words=lambda: F.array_join(T.significant_words(T.clean_text("text"), 3), " ")),
     "preprocess": lambda s, d: T.preprocess_dataframe(parts_as_business(s, d)).drop("source", "row_idx"),
     "blocking_keys": lambda s, d: _keys_table(s, d)[0].unionByName(_keys_table(s, d)[1]).select("entity_id", "pos", "key"),
     "block_sizes": _block_sizes,
-    "hot_keys_pruned": _hot(PART_BLOCK),
-    "hot_keys_pruned_whole": _hot(WHOLE_BLOCK),
-    "pair_overlap": _overlap(PART_BLOCK),
-    "pair_overlap_whole": _overlap(WHOLE_BLOCK),
-    "candidates_topk": _topk(PART_BLOCK),
-    "candidates_topk_whole": _topk(WHOLE_BLOCK),
+    "hot_keys_pruned": _hot,
+    "pair_overlap": _overlap,
+    "candidates_topk": lambda s, d: _found(s, d, parts_as_business).select("q_id", "t_id", "overlap", "rank"),
     "candidates_docs": lambda s, d: _found(s, d).select("q_id", "t_id", "overlap", "rank"),
-    "candidates_docs_whole": lambda s, d: _found(s, d, whole_docs).select("q_id", "t_id", "overlap", "rank"),
     "candidate_lists": _lists,
     "generate_candidates": lambda s, d: B.generate_candidates(docs_as_business(s, d).where("source = 1"), docs_as_business(s, d).where("source > 1")),
-    "generate_candidates_whole": lambda s, d: B.generate_candidates(whole_docs(s, d).where("source = 1"), whole_docs(s, d).where("source > 1")),
     "country_only_singletons": _unmatched,
     "features_native": _some(*NATIVE),
-    "features_native_whole": _some(*NATIVE, block=WHOLE_BLOCK),
     "feature_lcs": _some("name_lev_ratio", "name_token_sort", "stripped_tsr"),
-    "feature_lcs_whole": _some("name_lev_ratio", "name_token_sort", "stripped_tsr", block=WHOLE_BLOCK),
     "feature_jaro_winkler": _some("name_jw_dist", "stripped_jw"),
-    "feature_jaro_winkler_whole": _some("name_jw_dist", "stripped_jw", block=WHOLE_BLOCK),
     "feature_token_set": _some("name_token_set"),
-    "feature_token_set_whole": _some("name_token_set", block=WHOLE_BLOCK),
-    "feature_partial": _some("name_partial_ratio", block=WHOLE_BLOCK),
+    "feature_partial": _some("name_partial_ratio"),
     "heuristic_score": _heuristic,
     "threshold_filter": lambda s, d: S.threshold_filter(_scored(s, d), 0.5).select("s1_id", "cand_id", "score"),
     "cap_per_source": lambda s, d: _results(s, d, 0.3),
@@ -261,7 +232,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "explode_candidates": lambda s, d: P.explode_candidates(_lists(s, d)),
     "pair_distinct": _distinct,
     "semi_reduce": _semi,
-    "semi_reduce_whole": _semi_whole,
     "rescore": _rescored,
     "macro_f05": lambda s, d: _rounded(E.macro_f05(_counts(s, d))),
     "eval_detailed": lambda s, d: _rounded(E.evaluate_detailed(_counts(s, d))),
@@ -271,7 +241,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "result_summary": lambda s, d: _rounded(E.result_summary(_results(s, d))),
     "run_summary": lambda s, d: run_summary(_results(s, d)),
     "training_positives": _positives,
-    "training_positives_whole": lambda s, d: _positives(s, d, Config().train_entities),
     "training_negatives": _negatives,
     "parse_truth": _truth_lists,
     "best_threshold": _best_threshold,
@@ -290,7 +259,7 @@ _PARTS = """parts AS (SELECT 'S' || (p_partkey % 3 + 1) || '-' || p_partkey AS e
  CASE WHEN p_partkey % 50 = 7 THEN CASE WHEN p_partkey % 3 = 0 THEN 'Only1' ELSE 'Only23' END
   ELSE CASE (p_partkey // 18) % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'India' WHEN 2 THEN 'France' ELSE 'UK' END END AS country,
  CAST(p_partkey % 3 + 1 AS INTEGER) AS source, p_partkey AS row_idx FROM part)"""
-_DOCS = """docs AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, array_to_string(w[1:4], ' ') AS business_name, array_to_string(w[5:14], ' ') AS business_address,
+_DOCS = """docs AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, array_to_string(w[1:4], ' ') AS business_name, array_to_string(w[5:], ' ') AS business_address,
  lang AS country, CAST(doc_id % 3 + 1 AS INTEGER) AS source, doc_id AS row_idx, md5(text) AS mark
  FROM (SELECT *, string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents))"""
 
@@ -348,11 +317,12 @@ def _pairs(block: int) -> str:
 
 _P = f"WITH {_PARTS}"
 _D = f"WITH {_DOCS}"
+_T = f"WITH cleaned AS (SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, {_clean('text')} AS clean FROM documents)"
 _PP = f"{_P}, {_prep('parts')}"
 _DD = f"{_D}, {_prep('docs')}"
 _PK = f"{_PP}, {_keys()}"
-_DF = f"{_DD}, {_keys()}, {_pairs(10_000)}"
-_PF = f"{_PK}, {_pairs(PART_BLOCK)}"
+_DF = f"{_DD}, {_keys()}, {_pairs(BLOCK)}"
+_PF = f"{_PK}, {_pairs(BLOCK)}"
 _LISTS = "lists_out AS (SELECT p.entity_id AS source1_entity_id, coalesce(l.ids, '') AS candidate_entity_ids FROM prep p LEFT JOIN (SELECT q_id, string_agg(t_id, ',' ORDER BY rank) AS ids FROM found GROUP BY q_id) l ON p.entity_id = l.q_id WHERE p.source = 1)"
 _SC = f"{_DF}, scored AS (SELECT q_id AS s1_id, t_id AS cand_id, rank, round(overlap / (overlap + 2), 6) AS score FROM found)"
 
@@ -412,14 +382,14 @@ _SET_SIDES = f"""{_BOTH}, pieces AS (SELECT s1_id, cand_id, array_to_string(list
 ORACLE_SQL: dict[str, str] = {
     "records_parts": f"{_P} SELECT * FROM parts",
     "records_docs": f"{_D} SELECT entity_id, business_name, business_address, country, source, row_idx FROM docs",
-    "clean_text": f"{_D} SELECT entity_id, {_clean('business_name')} AS clean FROM docs",
+    "clean_text": f"{_T} SELECT entity_id, clean FROM cleaned",
     "normalize_abbreviations": f"{_PP} SELECT entity_id, addr_norm AS norm FROM prep",
     "strip_legal_suffixes": f"{_PP} SELECT entity_id, name_stripped AS stripped FROM prep",
     "extract_numbers": f"{_PP} SELECT entity_id, numbers FROM prep",
     "normalize_ampersand": rf"{_P} SELECT entity_id, trim(regexp_replace(business_name, '\s*&\s*', ' and ', 'g')) AS amp FROM parts",
     "normalize_name": f"{_PP} SELECT entity_id, CASE WHEN name_stripped <> '' THEN name_stripped ELSE name_clean END AS name FROM prep",
-    "tokens": f"{_DD} SELECT entity_id, CAST(len({_words('addr_clean')}) AS INTEGER) AS n_tokens, coalesce({_words('addr_clean')}[1], '') AS first FROM prep",
-    "significant_words": f"{_DD} SELECT entity_id, array_to_string({_significant('name_clean', 3)}, ' ') AS words FROM prep",
+    "tokens": f"{_T} SELECT entity_id, CAST(len({_words('clean')}) AS INTEGER) AS n_tokens, coalesce({_words('clean')}[1], '') AS first FROM cleaned",
+    "significant_words": f"{_T} SELECT entity_id, array_to_string({_significant('clean', 3)}, ' ') AS words FROM cleaned",
     "preprocess": f"{_PP} SELECT entity_id, business_name, business_address, country, name_clean AS business_name_clean, name_norm AS business_name_norm, name_stripped AS business_name_stripped, addr_clean AS business_address_clean, addr_norm AS business_address_norm, numbers AS address_numbers, country_clean FROM prep",
     "blocking_keys": f"{_PK} SELECT entity_id, pos, key FROM posted",
     "block_sizes": f"{_PK} SELECT country, key, count(*) AS size FROM posted WHERE source > 1 GROUP BY ALL",
@@ -428,7 +398,7 @@ ORACLE_SQL: dict[str, str] = {
     "candidates_topk": f"{_PF} SELECT q_id, t_id, overlap, rank FROM found",
     "candidates_docs": f"{_DF} SELECT q_id, t_id, overlap, rank FROM found",
     "candidate_lists": f"{_DF}, {_LISTS} SELECT * FROM lists_out",
-    "generate_candidates": f"{_DD}, {_keys('name_norm', 'addr_norm')}, {_pairs(10_000)}, {_LISTS} SELECT * FROM lists_out",
+    "generate_candidates": f"{_DD}, {_keys('name_norm', 'addr_norm')}, {_pairs(BLOCK)}, {_LISTS} SELECT * FROM lists_out",
     "country_only_singletons": f"{_PP} SELECT entity_id, country_clean FROM prep WHERE source = 1 AND country_clean NOT IN (SELECT country_clean FROM prep WHERE source > 1)",
     "features_native": f"""{_BOTH} SELECT s1_id, cand_id, CAST(CASE WHEN s1 <> '' AND s1 = s2 THEN 1 ELSE 0 END AS DOUBLE) AS stripped_exact, CAST(CASE WHEN {_words('s1')}[1] = {_words('s2')}[1] THEN 1 ELSE 0 END AS DOUBLE) AS first_token_match,
  CASE WHEN s1 <> '' AND s2 <> '' THEN round(len(list_intersect({_set('s1')}, {_set('s2')})) / least(len({_set('s1')}), len({_set('s2')})), 6) ELSE 0.0 END AS common_token_frac,
@@ -450,7 +420,7 @@ ORACLE_SQL: dict[str, str] = {
     "cap_interleaved": f"{_SC}, {_capped(0.3)}, {_matched('score DESC, rank, cand_id')} SELECT * FROM results",
     "explode_candidates": f"{_DF} SELECT q_id AS s1_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY rank) - 1 AS INTEGER) AS rank, t_id AS cand_id FROM found",
     "pair_distinct": f"{_DF} SELECT q_id AS s1_id, t_id AS cand_id FROM found",
-    "semi_reduce": f"{_DF} SELECT q_id AS s1_id, t_id AS cand_id FROM found WHERE q_row % 2 = 0 AND t_row % 5 <> 0",
+    "semi_reduce": f"{_DF} SELECT q_id AS s1_id, t_id AS cand_id FROM found",
     "macro_f05": f"{_EV} SELECT round(avg(f), 6) AS macro_f05 FROM measured",
     "eval_detailed": f"""{_EV} SELECT round(avg(f), 6) AS macro_f05, coalesce(round(avg(p) FILTER (nt > 0), 6), 0.0) AS mean_precision, coalesce(round(avg(r) FILTER (nt > 0), 6), 0.0) AS mean_recall,
  coalesce(round(avg(CASE WHEN np = 0 THEN 1.0 ELSE 0.0 END) FILTER (nt = 0), 6), 1.0) AS singleton_accuracy, count(*) FILTER (nt = 0) AS singleton_total, count(*) FILTER (nt = 0 AND np = 0) AS singleton_correct,
@@ -461,7 +431,7 @@ ORACLE_SQL: dict[str, str] = {
     "result_summary": f"""{_RES}, {_SIZES} SELECT count(*) AS total_entities, count(*) FILTER (n = 0) AS singletons, count(*) FILTER (n > 0) AS matched_entities, CAST(sum(n) AS BIGINT) AS total_matches, round(avg(n), 6) AS avg_matches, CAST(max(n) AS INTEGER) AS max_matches,
  count(*) FILTER (a > 0) AS with_s2, round(avg(a), 6) AS avg_s2, CAST(max(a) AS INTEGER) AS max_s2, count(*) FILTER (b > 0) AS with_s3, round(avg(b), 6) AS avg_s3, CAST(max(b) AS INTEGER) AS max_s3 FROM sizes""",
     "run_summary": f"{_RES} SELECT count(*) AS processed, count(*) FILTER (matched_entity_ids <> '') AS matched_entities, count(*) FILTER (matched_entity_ids = '') AS singletons, round(100 * avg(CASE WHEN matched_entity_ids <> '' THEN 1.0 ELSE 0.0 END), 6) AS matched_percent FROM results",
-    "training_positives": f"{_D}, {_TRUTH}, few AS (SELECT entity_id FROM docs WHERE source = 1 ORDER BY row_idx LIMIT 200) SELECT s1_id, cand_id FROM truth WHERE s1_id IN (SELECT entity_id FROM few)",
+    "training_positives": f"{_D}, {_TRUTH}, few AS (SELECT entity_id FROM docs WHERE source = 1 ORDER BY row_idx LIMIT {ENTITIES}) SELECT s1_id, cand_id FROM truth WHERE s1_id IN (SELECT entity_id FROM few)",
     "parse_truth": f"{_DF} SELECT p.entity_id AS s1_id, t_id AS match_id FROM prep p LEFT JOIN found ON q_id = p.entity_id WHERE p.source = 1",
     "best_threshold": "SELECT threshold, macro_f05 FROM (" + " UNION ALL ".join(f"SELECT * FROM ({_SC}, {_capped(t)}, {_TRUTH}, {_measured('capped')} SELECT CAST({t} AS DOUBLE) AS threshold, round(avg(f), 6) AS macro_f05 FROM measured)" for t in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)) + ") ORDER BY macro_f05 DESC, threshold LIMIT 1",
     "feature_dataset": f"""{_DF}, sides AS (SELECT f.q_id AS s1_id, f.t_id AS cand_id, q.name_stripped AS s1, t.name_stripped AS s2, q.addr_norm AS a1, t.addr_norm AS a2, q.numbers AS z1, t.numbers AS z2 FROM found f JOIN prep q ON f.q_id = q.entity_id JOIN prep t ON f.t_id = t.entity_id)

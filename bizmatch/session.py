@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -19,6 +21,14 @@ def get_spark(app: str = "bizmatch", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster names in spark.checkpoint.dir, or in a local one where all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, once for each context."""
     sc = spark.sparkContext

@@ -27,23 +27,18 @@ def parts_as_business(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def docs_as_business(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Documents as businesses of three sources: four words as name, ten as address (or all others with `whole`), the language as country."""
+def docs_as_business(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as businesses of three sources: four words as name, all others as address, the language as country."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     words = F.split(F.regexp_replace("text", "\n", " "), " ")
     src = F.col("doc_id") % 3
     return d.select(
         F.concat(F.lit("S"), (src + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
-        F.array_join(F.slice(words, 1, 4), " ").alias("business_name"), F.array_join(F.slice(words, F.lit(5), F.size(words) if whole else F.lit(10)), " ").alias("business_address"),
+        F.array_join(F.slice(words, 1, 4), " ").alias("business_name"), F.array_join(F.slice(words, F.lit(5), F.size(words)), " ").alias("business_address"),
         F.col("lang").alias("country"), (src + 1).cast("int").alias("source"), F.col("doc_id").alias("row_idx"), F.md5("text").alias("mark"),
     )
 
 
-def whole_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as businesses with all their words."""
-    return docs_as_business(spark, sf_dir, whole=True)
-
-
 def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity_id, text) of documents."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -15,13 +15,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def load_data(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
-    """All columns as text, in the file's order as row_idx; an empty field is '' and 'NA' or 'null' stay text.
+    """All columns as text; an empty field is '' and 'NA' or 'null' stay text. row_idx is the order of the file's rows, of a folder's files by name.
 
     The columns of the header are taken by name: ones beyond the schema are dropped, missing ones are ''.
     """
     raw = spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("inferSchema", False).csv(path)
-    named = raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None).cast("string")).alias(f.name) for f in schema.fields])
-    return named.na.fill("").withColumn("row_idx", F.monotonically_increasing_id())
+    columns = [F.col(f.name) if f.name in raw.columns else F.lit(None).cast("string") for f in schema.fields]
+    named = raw.select(*[c.alias(f.name) for f, c in zip(schema.fields, columns)])
+    rows = named.na.fill("")
+    files = raw.inputFiles()
+    if len(files) < 2:  # the parts of one file are read in its order
+        return rows.withColumn("row_idx", F.monotonically_increasing_id())
+    # files are read by size: their parts are numbered by name and place, and rows within them
+    block = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
+    blocks = raw.select(*block).distinct().withColumn("__block", F.row_number().over(Window.orderBy("__file", "__start")))
+    named = raw.select(*[named_column.alias(f.name) for f, named_column in zip(schema.fields, columns)], *block, F.monotonically_increasing_id().alias("__id"))
+    row_idx = F.shiftleft(F.col("__block").cast("long"), 33) + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return named.join(F.broadcast(blocks), ["__file", "__start"]).select(*[f.name for f in schema.fields], row_idx.alias("row_idx")).na.fill("")
 
 
 def source_paths(spark: SparkSession, data_dir: str, is_train: bool, fall_back: bool = True) -> dict[str, str]:
