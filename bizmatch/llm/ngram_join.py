@@ -26,6 +26,8 @@ RARE = 16
 MOST_FREQUENT = 1 << 20
 #: Bits of a set's sketch.
 SKETCH = 512
+#: Parts that the sets of one signature are dealt into before they meet.
+SALTS = 16
 #: Sets of a part of a group, and their tokens together; tokens of a block of products.
 CELL_SETS, CELL_TOKENS, TOKENS = 512, 4 << 20, 4096
 
@@ -335,9 +337,13 @@ def _within_groups(combined: DataFrame, members: DataFrame, percent: int) -> Dat
     Groups are what such signatures connect. A group's sets meet in a cell of their size band, as its own sets or,
     from the next band, as guests; cells of more than CELL_SETS sets are split into parts, each two of which meet.
     """
-    spark = combined.sparkSession
-    heads = combined.groupBy("key").agg(F.min("mark").alias("head"), F.count("*").alias("c")).where("c > 1")
-    group = components(combined.join(heads, "key"), "mark", "head").withColumnRenamed("node", "mark").withColumnRenamed("component", "g")
+    # a set is linked to the first of its part of a signature's sets, and that to the first of all
+    part = combined.withColumn("salt", _salt())
+    heads = part.groupBy("key", "salt").agg(F.min("mark").alias("head"))
+    links = part.join(heads, ["key", "salt"]).select("mark", "head")
+    tops = heads.groupBy("key").agg(F.min("head").alias("top"))
+    links = links.unionByName(heads.join(tops, "key").select(F.col("head").alias("mark"), F.col("top").alias("head")))
+    group = components(links, "mark", "head").withColumnRenamed("node", "mark").withColumnRenamed("component", "g")
     cuts = [int(x) for x in bands(percent, 1 << 40)]
     sized = combined.select("mark", "n").distinct().join(group, "mark")
     sized = materialize(sized.withColumn("band", F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col("n")))), "groups")
@@ -349,7 +355,8 @@ def _within_groups(combined: DataFrame, members: DataFrame, percent: int) -> Dat
     placed = seats.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("mark"), F.col("parts")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     placed = placed.select("mark", "guest", F.xxhash64("cell", F.least("part", "other"), F.greatest("part", "other")).alias("cell"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens = counts.join(parts, "cell").agg(F.sum(F.col("t") * F.col("parts"))).first()[0] or 0
+    n = width(combined, growth=0, least=int(-(-8 * tokens // (32 << 20))))
     sent = placed.join(members, "mark").select(F.pmod(F.xxhash64("cell", F.lit(1)), F.lit(n)).cast("int").alias("bucket"), "cell", "guest", "mark", "tokens")
 
     def linked(rows):
@@ -413,8 +420,8 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85, doc_id:
     combined = _unpacked(met, COMBINED, KINDS[COMBINED], "key long, mark long, n long", ["key", "mark", "n"]).distinct()
     combined = materialize(combined, "combined")
     tried = materialize(_plausible(_ordered(singles), sets, percent), "tried")
-    shared = combined.join(combined.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
-    combined = materialize(shared, "shared")
+    several = combined.groupBy("key").count().where("count > 1").select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    combined = materialize(combined.withColumn("salt", _salt()).join(several, ["key", "salt"], "left_semi").drop("salt"), "shared")
     needed = tried.select(F.col("a").alias("mark")).unionByName(tried.select(F.col("b").alias("mark"))).unionByName(combined.select("mark")).distinct()
     members = _whole_sets(needed, docs, sets, words)
     group = components(_verified(tried, members, percent).unionByName(_within_groups(combined, members, percent)))
@@ -427,3 +434,7 @@ def ngram_components(docs: DataFrame, words: int = 4, percent: int = 85, doc_id:
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _salt():
+    return F.pmod(F.xxhash64("mark"), F.lit(SALTS)).cast("int")
