@@ -171,7 +171,7 @@ def _window_matches(cued: DataFrame) -> DataFrame:
     places = _listed(cued.sparkSession, _places(), "stem int, before int, length int")
     rows = cued.select("id", F.explode(around).alias("x")).select("id", "x.*").join(places, "stem").where("at >= before")
     windows = rows.select("id", F.array_join(F.slice("near", F.greatest(F.col("at") - F.col("before") + 1, F.lit(1)), F.col("length")), " ").alias("window"))
-    windows = windows.select(F.md5("window").alias("window_id"), "id", "window").dropDuplicates(["window_id", "id"])
+    windows = windows.select(F.xxhash64("window").alias("window_id"), "id", "window").dropDuplicates(["window_id", "id"])
     found = _matches(windows.select("window_id", "window").dropDuplicates(["window_id"]), ["window_id"], "window", WINDOW, (*TEMPLATES, *NOTICES))
     return windows.select("id", "window_id").join(found, "window_id").select("id", "license", "score")
 
@@ -232,12 +232,12 @@ def scan_licenses(files: DataFrame, path: Column, doc_id: str = "doc_id", text:
     cue never leave the scan.
     """
     rows = files.select(F.col(doc_id).alias("doc_id"), path.cast("string").alias("path"), F.col(text).alias("text"))
-    # two reads of the texts: short rows of all files, with an id for those with a cue, and the texts with a cue, each once
-    short = materialize(rows.select("doc_id", "path", F.when(_cued_text(F.col("text")), F.md5("text")).alias("id")), "files")
-    cued = rows.where(_cued_text(F.col("text"))).select(F.md5("text").alias("id"), "text").dropDuplicates(["id"])
+    # two reads of the texts: short rows of all files, with a key for those with a cue, and the texts with a cue, each once
+    short = materialize(rows.select("doc_id", "path", F.when(_cued_text(F.col("text")), F.md5("text")).alias("key")), "files")
+    cued = rows.where(_cued_text(F.col("text"))).select(F.md5("text").alias("key"), "text").dropDuplicates(["key"]).withColumn("id", F.monotonically_increasing_id())
     cued = materialize(cued.withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))), "cued")
     lines = cued.select("id", F.posexplode(F.filter(F.split("text", "[\n\r]+"), lambda x: _cued(x))).alias("line", "notice"))
-    lines = lines.withColumn("notice", F.trim("notice")).select(F.md5("notice").alias("notice_id"), "id", "notice")
+    lines = lines.withColumn("notice", F.trim("notice")).select(F.xxhash64("notice").alias("notice_id"), "id", "notice")
     notices = _matches(lines.select("notice_id", "notice").dropDuplicates(["notice_id"]), ["notice_id"], "notice", HEADER)
     best = lambda: F.max_by(F.struct("license", "score"), F.struct(F.col("score"), F.col("license")))
     own = lines.select("id", "notice_id").join(notices, "notice_id").select("id", "license", "score")
@@ -245,11 +245,11 @@ def scan_licenses(files: DataFrame, path: Column, doc_id: str = "doc_id", text:
     whole = _matches(cued, ["id"], "text", WHOLE).select("id", F.struct("license", "score").alias("all"))
     whole = whole.join(_full_matches(cued), "id", "full").select("id", F.coalesce("all", "full").alias("all"))
     # what follows reads it several times
-    kinds = materialize(own.join(whole, "id", "full"), "kinds")
-    # most texts have no cue: they meet no notice, and their null id no task
+    kinds = materialize(own.join(whole, "id", "full").join(cued.select("id", "key"), "id").drop("id"), "kinds")
+    # most texts have no cue: they meet no notice, and their null key no task
     kind = F.lit(None).cast("struct<license:string,score:double>")
-    found = _looked_up(short.where("id is not null"), kinds, "id").select("doc_id", "path", "own", "all")
-    found = found.unionByName(short.where("id is null").select("doc_id", "path", kind.alias("own"), kind.alias("all")))
+    found = _looked_up(short.where("key is not null"), kinds, "key").select("doc_id", "path", "own", "all")
+    found = found.unionByName(short.where("key is null").select("doc_id", "path", kind.alias("own"), kind.alias("all")))
     base = F.lower(F.regexp_extract("path", "([^/]*)$", 1))
     is_file = F.col("all").isNotNull() | (F.col("own").isNotNull() & F.regexp_extract(base, "^([a-z]+)", 1).isin(*LICENCE_FILES))
     found = materialize(found.select(
