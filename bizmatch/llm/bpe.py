@@ -5,9 +5,13 @@ read, its arcs are labelled with tokens. It starts with one arc from every byte
 gadget laid on what the gadgets before it left, takes away the arc from the merge's left to its right part
 and adds a state for the new token, which copies its incoming arcs from the left part and its outgoing arcs
 from the right part as they stand at that time. So an arc u -> v is gone from some time on, or never, and
-that time follows from the parts of u and v; compiled, it is a table that is filled as arcs are asked for.
-A byte string has exactly one accepting path. It is found from left to right, in table steps, as the last
-token of each prefix; decoding emits the labels of the arcs.
+that time follows from the parts of u and v; as there are too many pairs to list, arcs are worked out when first
+asked for and kept in a table. The labels are spelled out in a deterministic automaton over bytes, laid out as
+arrays: a state for each beginning of a label, a row of 256 transitions for each state with more behind it (the
+others share the row of the state that their end leads to), and the longest label that ends in a state. A byte
+string has exactly one accepting path. It is found from left to right as the last token of each prefix: a byte is
+one table step, then the labels that end there are tried from the longest on until one has an arc from the prefix
+before it. Many words take their steps together, as rows of the arrays. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ChunkStore
-from .common import small_batches, tidied
+from .common import small_batches, tidied, tidy
 
 NEVER = 1 << 60
 #: Splits text before the merges (byte-level BPE).
@@ -31,8 +35,8 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: Words and arcs of the lazily filled tables before they start anew; chunks that a worker remembers, and their characters.
 TABLE_LIMIT, ARC_LIMIT = 120_000, 1 << 19
 CHUNKS, CHUNK_CHARACTERS = 350_000, 7_000_000
-#: Longest word that is remembered.
-REMEMBERED = 64
+#: Longest word that is remembered, in characters; that steps together with others, in bytes. Words that step together.
+REMEMBERED, TOGETHER, STEP = 64, 256, 16_384
 
 
 def byte_letters() -> dict[str, int]:
@@ -43,6 +47,18 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class _Arcs(dict):
+    """left << 20 | right -> whether that arc of the automaton stays; worked out when first asked for."""
+
+    def __init__(self, lost):
+        super().__init__()
+        self.lost = lost
+
+    def __missing__(self, key: int) -> bool:
+        free = self[key] = self.lost(key >> 20, key & 0xFFFFF) == NEVER
+        return free
+
+
 class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list, special: dict[str, int]):
         letters = byte_letters()
@@ -55,12 +71,12 @@ class Automaton:
         self.special = special
         self.time, self.left, self.right = [-1] * size, [-1] * size, [-1] * size
         self.gone: dict[int, int] = {}  # (left << 20 | right) -> time at which a gadget takes the arc away
-        self.arcs: dict[int, bool] = {}
+        self.arcs = _Arcs(self.lost)
         self.state: dict[bytes, int] = {bytes([b]): vocab[c] for c, b in letters.items() if c in vocab}
         for k, pair in enumerate(merges):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self._gadget(k, vocab[a], vocab[b], vocab[a + b])
-        self.longest = max(map(len, self.state), default=1)
+        self._compile()
 
     def _gadget(self, k: int, a: int, b: int, c: int) -> None:
         """Merge k: a b -> c. A token that the gadgets before it never leave side by side stays without a state."""
@@ -85,36 +101,109 @@ class Automaton:
                 return t
         return self.gone.get(u << 20 | v, NEVER)
 
+    def _compile(self) -> None:
+        """The labels of all states as one deterministic automaton over bytes, in arrays."""
+        child, ends = [{}], [-1]
+        for word, token in self.state.items():
+            at = 0
+            for byte in word:
+                to = child[at].get(byte)
+                if to is None:
+                    to = child[at][byte] = len(child)
+                    child.append({})
+                    ends.append(-1)
+                at = to
+            ends[at] = token
+        self.row = np.zeros(len(child), np.int32)
+        self.table = np.zeros((1 + sum(map(bool, child[1:])), 256), np.int32)  # the state that a byte leads to, by row
+        self.token = np.full(len(child), -1, np.int32)  # the longest label that ends in a state
+        self.shorter = np.full(len(self.label), -1, np.int32)  # the longest other label that a label ends with
+        self.size = np.array([len(x) for x in self.label], np.int32)
+        back, order, rows = [0] * len(child), [0], 1  # back: the state of the longest end of a state that is a beginning too
+        for node in order:  # shorter beginnings first
+            f = back[node]
+            if node:
+                self.token[node] = ends[node] if ends[node] >= 0 else self.token[f]
+                if ends[node] >= 0:
+                    self.shorter[ends[node]] = self.token[f]
+                self.row[node] = self.row[f]
+            if node and child[node]:
+                self.table[rows] = self.table[self.row[f]]
+                self.row[node], rows = rows, rows + 1
+            for byte, to in child[node].items():
+                back[to] = int(self.table[self.row[f], byte]) if node else 0
+                self.table[self.row[node], byte] = to
+                order.append(to)
+        self.views = [memoryview(x) for x in (self.table.reshape(-1), self.row, self.token, self.shorter, self.size)]
+
     def encode(self, word: bytes) -> list[int]:
         """The labels of word's one path."""
-        n, state, arcs, longest = len(word), self.state, self.arcs, self.longest
-        if word in state:
-            return [state[word]]
-        last = [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(i - 1, max(-1, i - longest - 1), -1):  # only one can be last: the likely short ones first
-                t = state.get(word[j:i])
-                if t is None:
-                    continue
-                if j:
-                    key = last[j] << 20 | t
-                    free = arcs.get(key)
-                    if free is None:
-                        if len(arcs) >= ARC_LIMIT:
-                            arcs.clear()
-                        free = arcs[key] = self.lost(last[j], t) == NEVER
-                    if not free:
-                        continue
-                last[i] = t
-                break
-            else:
+        if word in self.state:
+            return [self.state[word]]
+        table, row, token, shorter, size = self.views
+        arcs, last, at = self.arcs, [0], 0
+        if len(arcs) >= ARC_LIMIT:
+            arcs.clear()
+        for i, byte in enumerate(word, 1):
+            at = table[row[at] << 8 | byte]
+            t = token[at]
+            while t >= 0 and size[t] < i and not arcs[last[i - size[t]] << 20 | t]:  # only one can be last
+                t = shorter[t]
+            if t < 0:
                 raise ValueError("a byte has no token")
-        out = []
+            last.append(t)
+        out, n = [], len(word)
         while n:
             out.append(last[n])
-            n -= len(self.label[last[n]])
+            n -= size[last[n]]
         return out[::-1]
 
+    def encode_all(self, words: list[bytes]) -> list[list[int]]:
+        """The labels of each word's path; the words step through the tables together."""
+        out = [[self.state[w]] if w in self.state else None if w and len(w) <= TOGETHER else self.encode(w) for w in words]
+        rest = sorted((k for k, ids in enumerate(out) if ids is None), key=lambda k: -len(words[k]))
+        for lo in range(0, len(rest), STEP):
+            part = rest[lo : lo + STEP]
+            for k, ids in zip(part, self._together([words[k] for k in part])):
+                out[k] = ids
+        return out
+
+    def _together(self, words: list[bytes]) -> list[list[int]]:
+        """The same for words that are not empty, the longest first."""
+        if len(self.arcs) >= ARC_LIMIT:
+            self.arcs.clear()
+        arc, size = self.arcs.__getitem__, self.size
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        start = np.cumsum(length) - length
+        text = np.frombuffer(b"".join(words), np.uint8)
+        last = np.zeros(len(text), np.int32)  # by a prefix's last byte
+        at = np.zeros(len(words), np.int32)
+        going = np.searchsorted(-length, -np.arange(length[0]), "left")  # words with more bytes than that
+        for i, n in enumerate(going):
+            here = start[:n] + i
+            at = self.table[self.row[at[:n]], text[here]]
+            t, open_ = self.token[at], None
+            while len(here):
+                if t.min() < 0:
+                    raise ValueError("a byte has no token")
+                before = here - size[t]
+                inner = np.flatnonzero(before >= (start[:n] if open_ is None else start[open_]))
+                last[here] = t  # of those that are lost, a shorter one takes the place
+                keys = (last[before[inner]].astype(np.int64) << 20) | t[inner]
+                lost = inner[~np.fromiter(map(arc, keys.tolist()), bool, len(keys))]
+                open_ = lost if open_ is None else open_[lost]
+                here, t = here[lost], self.shorter[t[lost]]
+        on = np.zeros(len(text), bool)
+        here, first = start + length - 1, start
+        while len(here):
+            on[here] = True
+            here = here - size[last[here]]
+            more = here >= first
+            here, first = here[more], first[more]
+        ends = np.cumsum(on)[start + length - 1].tolist()
+        ids = last[on].tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
 
 class ByteBpe:
     """Encodes and decodes texts as the vocabulary file at `path` says (byte-level BPE, special tokens split off first)."""
@@ -134,35 +223,55 @@ class ByteBpe:
         self.label_start = np.concatenate(([0], np.cumsum([len(x) for x in label]))).astype(np.int64)
         self.label_bytes = np.frombuffer(b"".join(label), np.uint8)
         # a chunk is a space and what follows up to the next one; no token spans the start of one after a non-space
-        self.chunks = ChunkStore(lambda many: list(map(self.encode_chunk, many)), flagged=lambda c: not c or c[0].isspace() or c[-1].isspace(), limit=CHUNKS, limit_chars=CHUNK_CHARACTERS)
+        self.chunks = ChunkStore(self.encode_chunks, flagged=lambda c: not c or c[0].isspace() or c[-1].isspace(), limit=CHUNKS, limit_chars=CHUNK_CHARACTERS)
 
-    def word(self, w: str) -> list[int]:
+    def word(self, w: str, keep: bool = True) -> list[int]:
         ids = self.words.get(w)
         if ids is None:
-            if len(self.words) >= TABLE_LIMIT:
-                self.words.clear()
             ids = self.automaton.encode(w.encode())
-            if len(w) <= REMEMBERED:
+            if keep and len(w) <= REMEMBERED:
+                if len(self.words) >= TABLE_LIMIT:
+                    self.words.clear()
                 self.words[w] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str, keep: bool = True) -> list[int]:
         out: list[int] = []
         for part in self.split.split(text) if any(s in text for s in self.special) else [text]:
             if part in self.special:
                 out.append(self.special[part])
                 continue
             for w in SPLIT.findall(part):
-                out.extend(self.word(w))
+                out.extend(self.word(w, keep))
         return out
 
-    def encode_chunk(self, c: str) -> list[int]:
-        """A space and c; words of letters alone, or with one mark behind them, are split without the pattern."""
+    def split_chunk(self, c: str) -> list[str]:
+        """The words of a space and c; letters alone, or with one mark behind them, are split without the pattern."""
         if c.isalpha():
-            return self.word(" " + c)
+            return [" " + c]
         if c[-1:] in (",", ".") and c[:-1].isalpha():
-            return self.word(" " + c[:-1]) + self.word(c[-1])
-        return self.encode(" " + c)
+            return [" " + c[:-1], c[-1]]
+        return SPLIT.findall(" " + c)
+
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of a space and each of the chunks; words that are new are encoded together."""
+        if len(self.words) >= TABLE_LIMIT:
+            self.words.clear()
+        plain = [not any(s in c for s in self.special) for c in chunks]
+        split = [self.split_chunk(c) if p else [] for c, p in zip(chunks, plain)]
+        known = self.words
+        fresh = list(dict.fromkeys(w for words in split for w in words if w not in known))
+        new = dict(zip(fresh, self.automaton.encode_all([w.encode() for w in fresh])))
+        out = []
+        for c, p, words in zip(chunks, plain, split):
+            if not p:
+                out.append(self.encode(" " + c, keep=False))
+            elif len(words) == 1:
+                out.append(new.get(words[0]) or known[words[0]])
+            else:
+                out.append([i for w in words for i in new.get(w) or known[w]])
+        known.update((w, ids) for w, ids in new.items() if len(w) <= REMEMBERED)
+        return out
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and each text's count."""
@@ -194,7 +303,9 @@ class ByteBpe:
 
 @functools.lru_cache(maxsize=2)
 def _load(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    bpe = ByteBpe(path)
+    tidy()
+    return bpe
 
 
 def _blocks(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:

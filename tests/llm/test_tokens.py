@@ -70,6 +70,35 @@ def test_tables_start_anew(library, monkeypatch):
         check(small, library, ["one two three four", "five six seven"])
 
 
+@pytest.mark.parametrize("step, together", [(16_384, 256), (3, 5), (1, 0)])
+def test_words_that_step_together(bpe, library, monkeypatch, step, together):
+    from bizmatch.llm import bpe as module
+
+    monkeypatch.setattr(module, "STEP", step)
+    monkeypatch.setattr(module, "TOGETHER", together)
+    random.seed(2)
+    words = ["".join(random.choice("aeinrst hé漢") for _ in range(n)).strip() for n in [*range(1, 40)] * 5 + [300, 2000]]
+    words = [w for w in words if w] + ["a" * 255, "a" * 256, "a" * 257]
+    got = bpe.automaton.encode_all([w.encode() for w in words] + [b""])
+    assert got[-1] == [] and got[:-1] == [bpe.automaton.encode(w.encode()) for w in words]
+    plain = [(w, ids) for w, ids in zip(words, got) if w.isalpha()]
+    assert len(plain) > 20 and [ids for _, ids in plain] == [x.ids for x in library.encode_batch([w for w, _ in plain], add_special_tokens=False)]
+
+
+def test_tables_follow_the_labels(bpe):
+    """A state's longest label and the shorter ones behind it are just the labels that end there."""
+    a = bpe.automaton
+    for word in (b" international", "über".encode(), b"<<<>>> 12"):
+        at = 0
+        for i, byte in enumerate(word, 1):
+            at = int(a.table[a.row[at], byte])
+            t, found = int(a.token[at]), []
+            while t >= 0:
+                found.append(a.label[t])
+                t = int(a.shorter[t])
+            assert found == [word[j:i] for j in range(i) if word[j:i] in a.state]
+
+
 def test_chunk_store():
     store = ChunkStore(lambda many: [[len(c)] * len(c) for c in many], flagged=lambda c: c == "z", limit=2)
     for _ in range(2):
