@@ -33,8 +33,8 @@ NEVER = 1 << 60
 #: Splits text before the merges (byte-level BPE).
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words and arcs of the lazily filled tables before they start anew; chunks that a worker remembers, and their characters.
-TABLE_LIMIT, ARC_LIMIT = 120_000, 1 << 19
-CHUNKS, CHUNK_CHARACTERS = 350_000, 7_000_000
+TABLE_LIMIT, ARC_LIMIT = 120_000, 1 << 18
+CHUNKS, CHUNK_CHARACTERS = 300_000, 7_000_000
 #: Longest word that is remembered, in characters; that steps together with others, in bytes. Words that step together.
 REMEMBERED, TOGETHER, STEP = 64, 256, 16_384
 
@@ -254,7 +254,11 @@ class ByteBpe:
         return SPLIT.findall(" " + c)
 
     def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """The ids of a space and each of the chunks; words that are new are encoded together."""
+        """The ids of a space and each of the chunks."""
+        return [ids for lo in range(0, len(chunks), STEP) for ids in self._some_chunks(chunks[lo : lo + STEP])]
+
+    def _some_chunks(self, chunks: list[str]) -> list[list[int]]:
+        """The same for so few that what is held in between stays small; words that are new are encoded together."""
         if len(self.words) >= TABLE_LIMIT:
             self.words.clear()
         plain = [not any(s in c for s in self.special) for c in chunks]
