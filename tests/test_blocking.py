@@ -82,3 +82,29 @@ def test_countries_never_mix(spark):
     assert got == [("S1-2", "S2-2"), ("S1-3", "S2-2")]
     lists = B.generate_candidates(q.select("entity_id", "business_name", "business_address", "country", "row_idx"), t.select("entity_id", "business_name", "business_address", "country", "row_idx"))
     assert lists.where(F.col("candidate_entity_ids") == "").count() == 1
+
+
+def test_candidates_need_no_table_of_pairs(spark, monkeypatch):
+    """Copies on both sides, several blocks and parts: each query's best are those of the relation of all pairs, which is not made."""
+    from bizmatch.operators import best_pairs as C
+
+    s1 = [(f"S1-{k}", *r[1:4], k) for k, r in enumerate(records(11, 40, "S1") * 3)]
+    s2 = [(f"S2-{k}", *r[1:4], 1000 - k) for k, r in enumerate(records(12, 90, "S2") * 4)]
+    q, t = prepare_records(spark.createDataFrame(s1, SCHEMA)), prepare_records(spark.createDataFrame(s2, SCHEMA))
+    pairs = {}
+    for r in B.pair_overlap(B.postings(q), B.prune_hot_keys(B.postings(t), 150)).collect():
+        pairs.setdefault(r["q_id"], []).append((-r["overlap"], r["first_pos"], r["t_row"], r["t_id"]))
+    want = {}
+    for i, found in pairs.items():
+        best = sorted(found)[:7]
+        best = best if len(found) > 7 else sorted(best, key=lambda x: x[1:])
+        want[i] = [(x[3], -x[0], x[1], k + 1) for k, x in enumerate(best)]
+    monkeypatch.setattr(B, "pair_overlap", None)
+    monkeypatch.setattr(C, "TARGET_CLASSES", 9)
+    monkeypatch.setattr(C, "QUERY_CLASSES", 5)
+    got = {}
+    for r in B.candidates(q, t, 7, 150).orderBy("rank").collect():
+        got.setdefault(r["q_id"], []).append((r["t_id"], r["overlap"], r["first_pos"], r["rank"]))
+    assert got == want
+    crowd = C.target_classes(B.record_keys(t), 3)
+    assert crowd.where("size(rows) > 3").count() == 0 and crowd.where("size(rows) = 3").count() > 0
