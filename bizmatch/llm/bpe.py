@@ -8,7 +8,8 @@ from the right part as they stand at that time. So an arc u -> v is gone from so
 that time follows from the parts of u and v; as there are too many pairs to list, arcs are worked out when first
 asked for and kept in a table. The labels are spelled out in a deterministic automaton over bytes, laid out as
 arrays: a state for each beginning of a label, a row of 256 transitions for each state with more behind it (the
-others share the row of the state that their end leads to), and the longest label that ends in a state. A byte
+others share the row of the state that their end leads to), and the longest label that ends in a state. A row is
+16 numbers of blocks of 16 transitions, and rows share the blocks in which they do not differ. A byte
 string has exactly one accepting path. It is found from left to right as the last token of each prefix: a byte is
 one table step, then the labels that end there are tried from the longest on until one has an arc from the prefix
 before it. Many words take their steps together, as rows of the arrays. Decoding emits the labels of the arcs.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: Words and arcs of the lazily filled tables before they start anew; chunks that a worker remembers, and their characters.
 TABLE_LIMIT, ARC_LIMIT = 120_000, 1 << 19
 CHUNKS, CHUNK_CHARACTERS = 350_000, 7_000_000
+#: Characters of texts that are encoded at a time, about.
+BLOCK = 1 << 19
 #: Longest word that is remembered, in characters; that steps together with others, in bytes. Words that step together.
 REMEMBERED, TOGETHER, STEP = 64, 256, 16_384
 
@@ -59,6 +63,33 @@ class _Arcs(dict):
         return free
 
 
+class _Table:
+    """The states by row and byte: a row is 16 numbers of blocks of 16 states, and shares those in which it is like the row that it began as."""
+
+    def __init__(self, rows: int, blocks: int):
+        self.block = np.zeros((rows, 16), np.int32)
+        self.to = np.zeros((blocks, 16), np.int32)
+        self.used = self.own = 1  # blocks; the first one of the row begun last
+
+    def begin(self, row: int, like: int) -> None:
+        self.block[row] = self.block[like]
+        self.own = self.used
+
+    def __getitem__(self, at):
+        row, byte = at
+        return self.to[self.block[row, byte >> 4], byte & 15]
+
+    def __setitem__(self, at, state: int) -> None:
+        """Of the row begun last."""
+        row, byte = at
+        block = self.block[row, byte >> 4]
+        if block < self.own:
+            self.to[self.used] = self.to[block]
+            block = self.block[row, byte >> 4] = self.used
+            self.used += 1
+        self.to[block, byte & 15] = state
+
+
 class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list, special: dict[str, int]):
         letters = byte_letters()
@@ -115,7 +146,7 @@ class Automaton:
                 at = to
             ends[at] = token
         self.row = np.zeros(len(child), np.int32)
-        self.table = np.zeros((1 + sum(map(bool, child[1:])), 256), np.int32)  # the state that a byte leads to, by row
+        self.table = _Table(1 + sum(map(bool, child[1:])), 1 + sum(len({b >> 4 for b in c}) for c in child))  # the state that a byte leads to, by row
         self.token = np.full(len(child), -1, np.int32)  # the longest label that ends in a state
         self.shorter = np.full(len(self.label), -1, np.int32)  # the longest other label that a label ends with
         self.size = np.array([len(x) for x in self.label], np.int32)
@@ -128,24 +159,24 @@ class Automaton:
                     self.shorter[ends[node]] = self.token[f]
                 self.row[node] = self.row[f]
             if node and child[node]:
-                self.table[rows] = self.table[self.row[f]]
+                self.table.begin(rows, self.row[f])
                 self.row[node], rows = rows, rows + 1
             for byte, to in child[node].items():
                 back[to] = int(self.table[self.row[f], byte]) if node else 0
                 self.table[self.row[node], byte] = to
                 order.append(to)
-        self.views = [memoryview(x) for x in (self.table.reshape(-1), self.row, self.token, self.shorter, self.size)]
+        self.views = [memoryview(x) for x in (self.table.to.reshape(-1), self.table.block.reshape(-1), self.row, self.token, self.shorter, self.size)]
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of word's one path."""
         if word in self.state:
             return [self.state[word]]
-        table, row, token, shorter, size = self.views
+        to, block, row, token, shorter, size = self.views
         arcs, last, at = self.arcs, [0], 0
         if len(arcs) >= ARC_LIMIT:
             arcs.clear()
         for i, byte in enumerate(word, 1):
-            at = table[row[at] << 8 | byte]
+            at = to[block[row[at] << 4 | byte >> 4] << 4 | byte & 15]
             t = token[at]
             while t >= 0 and size[t] < i and not arcs[last[i - size[t]] << 20 | t]:  # only one can be last
                 t = shorter[t]
@@ -292,6 +323,11 @@ class ByteBpe:
             counts[k] = len(ids)
         return np.concatenate(pieces) if pieces else np.empty(0, np.uint32), counts
 
+    def forget(self) -> None:
+        """Empty the tables that texts have filled; the automaton stays."""
+        self.words, self.automaton.arcs = {}, _Arcs(self.automaton.lost)
+        self.chunks.clear()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the arcs' labels emit."""
         start = self.label_start[ids]
@@ -333,19 +369,21 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(tokenizer)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            texts = [t or "" for t in texts]
-            for lo, hi in _blocks([len(t) for t in texts], 2 << 20):
-                flat, counts = bpe.encode_many(texts[lo:hi])
-                ends = np.cumsum(counts)
-                each = [flat[e - c : e] for e, c in zip(ends, counts)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids[lo:hi].cast(pa.int64()), pa.array(counts), pa.array([x.astype("<u4", copy=False).tobytes() for x in each], pa.binary()),
-                        pa.array([bpe.decode(x).decode("utf-8", "replace") for x in each], pa.string()),
-                    ],
-                    schema=schema,
-                )
+        try:
+            for batch in batches:
+                ids, column = batch.column(0), batch.column(1)
+                for lo, hi in _blocks(pc.utf8_length(column).fill_null(0).to_pylist(), BLOCK):
+                    flat, counts = bpe.encode_many([t or "" for t in column[lo:hi].to_pylist()])
+                    ends = np.cumsum(counts)
+                    each = [flat[e - c : e] for e, c in zip(ends, counts)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids[lo:hi].cast(pa.int64()), pa.array(counts), pa.array([x.astype("<u4", copy=False).tobytes() for x in each], pa.binary()),
+                            pa.array([bpe.decode(x).decode("utf-8", "replace") for x in each], pa.string()),
+                        ],
+                        schema=schema,
+                    )
+        finally:
+            bpe.forget()  # the worker is kept, and other stages need the memory
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(run), "doc_id long, n_tokens long, ids binary, decoded string")

@@ -29,9 +29,9 @@ class ChunkStore:
 
     def __init__(self, encode: Callable[[list[str]], list], flagged: Callable[[str], bool] | None = None, limit: int = 1_200_000, limit_chars: int = 24_000_000):
         self.encode, self.flagged, self.limit, self.limit_chars = encode, flagged, limit, limit_chars
-        self._new()
+        self.clear()
 
-    def _new(self) -> None:
+    def clear(self) -> None:
         self.numbers = _Numbers()
         self.chars = self.used = 0
         self.start = np.zeros(1 << 12, np.int64)
@@ -64,7 +64,7 @@ class ChunkStore:
     def look_up(self, texts: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
         """The ids of each text, given as its chunks, and whether one of them is flagged."""
         if len(self.numbers) > self.limit or self.chars > self.limit_chars:
-            self._new()
+            self.clear()
         number = self.numbers.__getitem__
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         at = np.fromiter(map(number, chain.from_iterable(texts)), np.int64, int(lengths.sum()))

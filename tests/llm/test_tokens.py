@@ -99,6 +99,29 @@ def test_tables_follow_the_labels(bpe):
             assert found == [word[j:i] for j in range(i) if word[j:i] in a.state]
 
 
+def test_transitions_are_small(bpe):
+    """Rows share what they do not differ in: laid out one by one they take 64 MB in each worker."""
+    a = bpe.automaton
+    assert sum(x.nbytes for x in a.views) < 16 << 20
+
+
+def test_workers_keep_no_tables_of_texts(spark):
+    docs = spark.createDataFrame([(k, f"some words{k} of text{k}") for k in range(50)], "doc_id long, text string").coalesce(1)
+    assert bpe_round_trip(docs, BYTES).where("n_tokens > 0").count() == 50
+
+    def kept(batches):
+        import pyarrow as pa
+
+        from bizmatch.llm.bpe import _load
+
+        for _ in batches:
+            pass
+        loaded, known = _load.cache_info().currsize, _load(BYTES)
+        yield pa.RecordBatch.from_pydict({"loaded": [loaded], "n": [len(known.words) + len(known.automaton.arcs) + len(known.chunks.numbers)]})
+
+    assert [tuple(r) for r in spark.range(1).coalesce(1).mapInArrow(kept, "loaded long, n long").collect()] == [(1, 0)]
+
+
 def test_chunk_store():
     store = ChunkStore(lambda many: [[len(c)] * len(c) for c in many], flagged=lambda c: c == "z", limit=2)
     for _ in range(2):
